@@ -2,11 +2,10 @@
 
 A window over ``partitionBy(group)`` puts a whole group into one task. The
 helpers here split each group into ordered buckets first: a bucket is a function
-of the value and exact per-bucket minimum, maximum and count, so it is the same
-on every evaluation. Windows then run per (group, bucket) and the bucket totals
--- a few rows per group -- supply the offsets. Equal values are merged by a
-partial aggregate before anything is shuffled, so a heavily repeated value costs
-one row.
+of the value alone, so it is the same on every evaluation. Windows then run per
+(group, bucket) and the bucket totals -- bounded by the range of the values, not
+by the rows -- supply the offsets. Equal values are merged by a partial aggregate
+before anything is shuffled, so a heavily repeated value costs one row.
 """
 
 from __future__ import annotations
@@ -16,88 +15,79 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
+BUCKETS_PER_OCTAVE = 256
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
+    """Order-preserving bucket of a number: steps of a constant ratio, sign aware.
 
-
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how="inner") -> DataFrame:
-    """Equi-join on keys; the size of either side decides the physical join at run time."""
-    return left.join(right, list(keys), how)
+    It needs no statistics pass and gives the same bucket on every evaluation.
+    """
+    size = F.floor(F.log2(F.abs(value)) * per_octave) + 1100 * per_octave
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
 
 
-def split_by_order(
-    df: DataFrame,
-    keys: Sequence[str],
-    by: Sequence[str],
-    out: str,
-    rows: int = ROWS_PER_BUCKET,
-    weight: Column | None = None,
-) -> DataFrame:
-    """Add ``out``: order-preserving bucket numbers (array) inside ``keys``.
+def _prefix(rungs: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str]):
+    """Exclusive prefix and total of ``sums`` along ``order`` inside ``keys``.
 
-    Level *i* refines the buckets that still hold more than ``rows`` rows by the
-    numeric column ``by[i]``; repeating a column copes with outliers, ending on
-    an id column splits ties.
+    One exchange feeds both the per-bucket totals and the per-bucket windows.
     """
-    path: list[str] = []
-    result = df
-    for level, name in enumerate(by):
-        at = [*keys, *path]
-        stats = result.groupBy(*at).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(name).cast("double").alias("_lo"),
-            F.max(name).cast("double").alias("_hi"),
-        )
-        stats = stats.where((F.col("_n") > rows) & (F.col("_hi") > F.col("_lo")))
-        parts = F.ceil(F.col("_n") / F.lit(float(rows)))
-        place = F.floor(
-            (F.col(name).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts
-        )
-        step = f"_b{level}"
-        result = (
-            result.join(stats, at, "left")
-            .withColumn(step, F.coalesce(F.least(place, parts - 1), F.lit(0)).cast("bigint"))
-            .drop("_n", "_lo", "_hi")
-        )
-        path.append(step)
-    return result.withColumn(out, F.array(*path)).drop(*path)
+    cut = rungs.withColumn("_bucket", order_bucket(F.col(order[0]).cast("double")))
+    first = F.min(F.col(order[0])).alias("_first")
+    bucket = cut.groupBy(*keys, "_bucket").agg(first, *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    prior, whole = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    offsets = bucket.select(
+        *keys,
+        "_bucket",
+        F.lead("_first").over(along).alias("_after"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(prior), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *[F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in sums],
+    )
+    ordered = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.select(
+        *keys,
+        "_bucket",
+        *order,
+        *sums,
+        F.lead(order[0]).over(ordered).alias("_next"),
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_l_{c}") for c in sums],
+    )
+    return local.join(offsets, [*keys, "_bucket"]).select(
+        *keys,
+        *order,
+        F.coalesce("_next", "_after").alias("next_value"),
+        *sums,
+        *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).cast("bigint").alias(f"{c}_below") for c in sums],
+        *[F.col(f"{c}_total").cast("bigint").alias(f"{c}_total") for c in sums],
+    )
 
 
 def row_index(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str,
-    rows: int = ROWS_PER_BUCKET,
+    df: DataFrame, keys: Sequence[str], score: str, ident: str, out: str, span: int = 1 << 17
 ) -> DataFrame:
-    """Row number inside ``keys`` by numeric ``order`` columns; the last one is unique."""
-    cut = split_by_order(df, keys, [order[0], *order], "_bucket", rows)
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    totals = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    """Row number inside ``keys`` by (score, ident); ``ident`` is a unique integer.
+
+    Ties on the score are cut into spans of ``ident``, so even a group with one
+    score only is numbered span by span.
+    """
+    cut = df.withColumn("_span", F.floor(F.col(ident) / span).cast("bigint"))
+    rungs = cut.groupBy(*keys, score, "_span").agg(F.count(F.lit(1)).alias("n"))
+    skip = _prefix(rungs, keys, [score, "_span"], ["n"]).select(
+        *keys, score, "_span", F.col("n_below").alias("_skip")
     )
-    offsets = totals.withColumn("_skip", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    local = Window.partitionBy(*keys, score, "_span").orderBy(ident)
     return (
         cut.withColumn("_row", F.row_number().over(local))
-        .join(offsets.drop("_size"), [*keys, "_bucket"])
+        .join(skip, [*keys, score, "_span"])
         .withColumn(out, (F.col("_row") + F.col("_skip")).cast("bigint"))
-        .drop("_row", "_skip", "_bucket")
+        .drop("_row", "_skip", "_span")
     )
 
 
 def value_ladder(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    counts: dict[str, Column] | None = None,
-    rows: int = ROWS_PER_BUCKET,
+    df: DataFrame, keys: Sequence[str], value: str, counts: dict[str, Column] | None = None
 ) -> DataFrame:
     """Distinct values per group with, for each count, the running and total mass.
 
@@ -110,37 +100,7 @@ def value_ladder(
         .groupBy(*keys, value)
         .agg(*[F.sum(c).cast("bigint").alias(name) for name, c in counts.items()])
     )
-    cut = split_by_order(rungs, keys, [value, value], "_bucket", rows)
-    bucket = cut.groupBy(*keys, "_bucket").agg(
-        F.min(value).alias("_first"), *[F.sum(c).alias(f"_s_{c}") for c in counts]
-    )
-    prior = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = bucket.select(
-        *keys,
-        "_bucket",
-        F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_after"),
-        *[F.coalesce(F.sum(f"_s_{c}").over(prior), F.lit(0)).alias(f"_o_{c}") for c in counts],
-        *[F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in counts],
-    )
-    ordered = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.select(
-        *keys,
-        "_bucket",
-        value,
-        *counts,
-        F.lead(value).over(ordered).alias("_next"),
-        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_l_{c}") for c in counts],
-    )
-    return local.join(offsets, [*keys, "_bucket"]).select(
-        *keys,
-        value,
-        F.coalesce("_next", "_after").alias("next_value"),
-        *counts,
-        *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).cast("bigint").alias(f"{c}_below") for c in counts],
-        *[F.col(f"{c}_total").cast("bigint").alias(f"{c}_total") for c in counts],
-    )
+    return _prefix(rungs, keys, [value], list(counts))
 
 
 def midrank(ladder: DataFrame, count: str = "n") -> Column:

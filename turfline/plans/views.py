@@ -14,6 +14,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turfline.session import settle
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -218,6 +220,8 @@ class Views:
     def co(self) -> DataFrame:
         from turfline.operators.profiles import comparison_cohort
 
-        return comparison_cohort(
+        rows = comparison_cohort(
             self.pf, ["player_id"], 300, [f"{c}_per90" for c in PM_COUNTS]
         )
+        # Mart-level cut: profiles are read many times downstream, computed once.
+        return settle(rows, "cohort")
