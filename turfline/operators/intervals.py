@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.measures import reason_list
+from turfline.session import settle
 
 # Actions that may fall outside a player's segments.
 EXEMPT_ACTIONS = ["Player On", "Player Off", "Bad Behaviour", "Substitution", "Injury Stoppage"]
@@ -55,45 +56,58 @@ def usable_matches(ends: DataFrame, xi: DataFrame) -> DataFrame:
 
 
 def _boundaries(events: DataFrame, tactics: DataFrame) -> DataFrame:
-    """One row per (event, affected player): opens, closes and role shifts."""
-    base = ["match_id", "event_id", "period", "clock", "idx", "at"]
-    true, false = F.lit(True), F.lit(False)
-    unknown = F.lit(None).cast("boolean")
-    text = F.lit(None).cast("string")
-
-    def rows(df: DataFrame, player, kind, step, registers, role=text, problem=text):
-        return df.select(
-            *base,
+    """One row per (event, affected player): opens, closes and role shifts.
+
+    A single pass: every event explodes into the rows it causes; line-up sheets
+    and shifts join their listed players.
+    """
+    base = ["match_id", "event_id", "period", "clock", "idx"]
+    kind_is = lambda *n: F.col("event_type").isin(*n)
+
+    def row(player: Column, kind: str, step: int, source: str, registers: Column) -> Column:
+        return F.struct(
+            F.col("at").alias("at"),
             player.alias("player_id"),
             F.lit(kind).alias("kind"),
             F.lit(step).alias("step"),
-            registers.alias("registers"),
-            role.alias("role"),
-            problem.alias("source"),
+            registers.cast("boolean").alias("registers"),
+            F.lit(source).alias("source"),
         )
 
-    named = lambda n: events.where(F.col("event_type") == n)
-    listed = events.where(F.col("event_type").isin("Starting XI", "Tactical Shift")).join(
-        tactics.select("event_id", F.col("player_id").alias("listed"), "role"), "event_id"
+    permanent = F.when(F.coalesce("permanent", F.lit(False)), F.lit(False))
+    actor, other = F.col("player_id"), F.col("replacement_id")
+    red = F.coalesce(F.col("card").isin(SENT_OFF), F.lit(False)) & actor.isNotNull()
+    caused = F.array_compact(
+        F.array(
+            F.when(kind_is("Substitution"), row(actor, "close", 0, "sub_out", F.lit(False))),
+            F.when(kind_is("Substitution"), row(other, "open", 1, "sub_in", F.lit(True))),
+            F.when(kind_is("Player Off"), row(actor, "close", 0, "off", permanent)),
+            F.when(kind_is("Player On"), row(actor, "open", 0, "on", F.lit(None))),
+            F.when(red, row(actor, "close", 2, "card", F.lit(False))),
+        )
     )
-    start = listed.where(F.col("event_type") == "Starting XI").withColumn("at", F.lit(0.0))
-    shift = listed.where(F.col("event_type") == "Tactical Shift")
-    subs, off, on = named("Substitution"), named("Player Off"), named("Player On")
-    red = events.where(F.col("card").isin(SENT_OFF) & F.col("player_id").isNotNull())
-    permanent = F.when(F.coalesce("permanent", false), false)
-    parts = [
-        rows(start, F.col("listed"), "open", 0, true, F.col("role"), F.lit("xi")),
-        rows(shift, F.col("listed"), "shift", 0, unknown, F.col("role"), F.lit("shift")),
-        rows(subs, F.col("player_id"), "close", 0, false, problem=F.lit("sub_out")),
-        rows(subs, F.col("replacement_id"), "open", 1, true, problem=F.lit("sub_in")),
-        rows(off, F.col("player_id"), "close", 0, permanent, problem=F.lit("off")),
-        rows(on, F.col("player_id"), "open", 0, unknown, problem=F.lit("on")),
-        rows(red, F.col("player_id"), "close", 2, false, problem=F.lit("card")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    single = (
+        events.where(kind_is("Substitution", "Player Off", "Player On") | red)
+        .select(*base, F.explode(caused).alias("b"))
+        .select(*base, "b.*", F.lit(None).cast("string").alias("role"))
+    )
+    xi = kind_is("Starting XI")
+    listed = (
+        events.where(kind_is("Starting XI", "Tactical Shift"))
+        .drop("player_id")
+        .join(tactics.select("event_id", "player_id", "role"), "event_id")
+        .select(
+            *base,
+            F.when(xi, 0.0).otherwise(F.col("at")).alias("at"),
+            "player_id",
+            F.when(xi, "open").otherwise("shift").alias("kind"),
+            F.lit(0).alias("step"),
+            F.when(xi, True).alias("registers"),
+            F.when(xi, "xi").otherwise("shift").alias("source"),
+            "role",
+        )
+    )
+    return single.unionByName(listed)
 
 
 def _own_position(boundary: DataFrame, positions: DataFrame) -> DataFrame:
@@ -123,41 +137,52 @@ def _own_position(boundary: DataFrame, positions: DataFrame) -> DataFrame:
     ).drop("own_role")
 
 
-def _inherit_roles(states: DataFrame, rounds: int = 4) -> DataFrame:
+def _inherit_roles(states: DataFrame) -> DataFrame:
     """Roles of substitutes without an own position: the outgoing player's role.
 
-    Chains (a substitute replaced by another) are resolved by pointer doubling;
-    2^rounds exceeds the bench of a match.
+    A substitute may replace another one, so the substitutions of a match -- a
+    bench-sized array -- are folded in order with the roles handed on so far.
     """
     incoming = states.where(F.col("source") == "sub_in").select(
-        "match_id", "event_id", "player_id", "role"
+        "match_id", "event_id", "period", "clock", "idx", F.col("player_id").alias("enters"), "role"
     )
     outgoing = states.where(F.col("source") == "sub_out").select(
         "match_id",
         "event_id",
-        F.when(F.col("active_before"), F.col("held_role")).alias("given_role"),
-        F.when(F.col("active_before"), F.col("held_event")).alias("parent"),
-    )
-    links = incoming.join(outgoing, ["match_id", "event_id"], "left").select(
-        "match_id",
-        "event_id",
-        F.coalesce("role", "given_role").alias("role"),
-        F.when(F.coalesce("role", "given_role").isNull(), F.col("parent")).alias("parent"),
-    )
-    for _ in range(rounds):
-        upper = links.select(
-            "match_id",
-            F.col("event_id").alias("parent"),
-            F.col("role").alias("up_role"),
-            F.col("parent").alias("up_parent"),
+        F.col("player_id").alias("leaves"),
+        F.when(F.col("active_before") & (F.col("held.source") != "sub_in"), F.col("held.role")).alias(
+            "given"
+        ),
+        (F.col("active_before") & (F.col("held.source") == "sub_in")).alias("handed_on"),
+    )
+    listed = (
+        incoming.join(outgoing, ["match_id", "event_id"], "left")
+        .groupBy("match_id")
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        "period", "clock", "idx", "event_id", "enters", "leaves",
+                        F.coalesce("role", "given").alias("role"), "handed_on",
+                    )
+                )
+            ).alias("subs")
         )
-        links = links.join(upper, ["match_id", "parent"], "left").select(
-            "match_id",
-            "event_id",
-            F.coalesce("role", "up_role").alias("role"),
-            F.when(F.coalesce("role", "up_role").isNull(), F.col("up_parent")).alias("parent"),
+    )
+    empty = F.array().cast("array<struct<event_id:bigint,player_id:bigint,role:string>>")
+
+    def step(done: Column, sub: Column) -> Column:
+        earlier = F.filter(done, lambda d: d["player_id"] == sub["leaves"])
+        handed = F.when(sub["handed_on"], F.try_element_at(earlier, F.lit(-1))["role"])
+        entry = F.struct(
+            sub["event_id"].alias("event_id"),
+            sub["enters"].alias("player_id"),
+            F.coalesce(sub["role"], handed).alias("role"),
         )
-    return links.select("match_id", "event_id", F.col("role").alias("sub_role"))
+        return F.concat(done, F.array(entry))
+
+    folded = listed.select("match_id", F.explode(F.aggregate("subs", empty, step)).alias("r"))
+    return folded.select("match_id", "r.event_id", F.col("r.role").alias("sub_role"))
 
 
 def reconstruct(
@@ -194,14 +219,11 @@ def reconstruct(
     holds = F.col("effective") & (F.col("kind") != "close")
     states = states.withColumns(
         {
-            "held": F.last(F.when(holds, F.struct("role", "event_id", "source")), True).over(past),
-        }
-    ).withColumns(
-        {
-            "held_role": F.col("held.role"),
-            "held_event": F.when(F.col("held.source") == "sub_in", F.col("held.event_id")),
+            "held": F.last(F.when(holds, F.struct("role", "source")), True).over(past),
         }
     )
+    # Boundary states feed the segments and six conflict checks: write them once.
+    states = settle(states, "boundaries")
     given = _inherit_roles(states)
     effective = states.where("effective").join(given, ["match_id", "event_id"], "left")
     role = F.when(F.col("source") == "sub_in", F.col("sub_role")).otherwise(F.col("role"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from turfline.functions.text import clock_seconds
@@ -79,39 +77,40 @@ def match_sheets(v):
     uid = F.col("match_id") * 1000000 + F.col("team_id") * 10
     none, boolean = F.lit(None).cast("bigint"), F.lit(None).cast("boolean")
 
-    def marks(kind, code, period, clock, player=none, replacement=none, card=None, keep=F.lit(True)):
-        return units.where(keep).select(
-            "match_id",
+    at = lambda share: F.floor(F.col("l2") * share)
+    slot = lambda s: F.col("team_id") * 11 + s
+    bench = lambda s: F.lit(1000000) + F.col("team_id") * 3 + s
+    third = F.col("match_id") % 3 == 0
+
+    def mark(kind, code, period, clock, player=none, replacement=none, card=None):
+        return F.struct(
             (uid + code).alias("event_id"),
             F.lit(-10 + code).cast("bigint").alias("idx"),
             F.lit(period).cast("bigint").alias("period"),
             clock.cast("double").alias("clock"),
             F.lit(kind).alias("event_type"),
-            player.alias("player_id"),
-            "team_id",
+            player.cast("bigint").alias("player_id"),
             F.lit(card).cast("string").alias("card"),
-            replacement.alias("replacement_id"),
-            boolean.alias("permanent"),
+            replacement.cast("bigint").alias("replacement_id"),
         )
 
-    at = lambda share: F.floor(F.col("l2") * share)
-    slot = lambda s: F.col("team_id") * 11 + s
-    bench = lambda s: F.lit(1000000) + F.col("team_id") * 3 + s
-    third = F.col("match_id") % 3 == 0
-    made = [
-        marks("Starting XI", 0, 1, F.lit(0)),
-        marks("Tactical Shift", 1, 1, F.lit(1500)),
-        marks("Player Off", 2, 1, F.lit(600), slot(3)),
-        marks("Player On", 3, 1, F.lit(720), slot(3)),
-        marks("Substitution", 4, 2, at(0.5), slot(10), bench(0)),
-        marks("Bad Behaviour", 5, 2, at(0.6), slot(5), card="Red Card", keep=third),
-        marks("Substitution", 6, 2, at(0.7), bench(0), bench(1)),
+    marks = [
+        mark("Starting XI", 0, 1, F.lit(0)),
+        mark("Tactical Shift", 1, 1, F.lit(1500)),
+        mark("Player Off", 2, 1, F.lit(600), slot(3)),
+        mark("Player On", 3, 1, F.lit(720), slot(3)),
+        mark("Substitution", 4, 2, at(0.5), slot(10), bench(0)),
+        F.when(third, mark("Bad Behaviour", 5, 2, at(0.6), slot(5), card="Red Card")),
+        mark("Substitution", 6, 2, at(0.7), bench(0), bench(1)),
     ]
+    made = units.select(
+        "match_id", "team_id", F.explode(F.array_compact(F.array(*marks))).alias("m")
+    ).select("match_id", "team_id", "m.*", boolean.alias("permanent"))
     played = v.ev.select(
         "match_id", "event_id", "idx", "period", "clock", "event_type", "player_id", "team_id",
         F.lit(None).cast("string").alias("card"), none.alias("replacement_id"), boolean.alias("permanent"),
     )
-    events = reduce(lambda a, b: a.unionByName(b), [played, *made])
+    events = played.unionByName(made)
     place = F.col("slot")
     role = F.when(place == 0, "GK").when(place < 5, "CB").when(place < 8, "CM").otherwise("ST")
     sheet = units.select("match_id", "team_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("slot"))
@@ -252,11 +251,11 @@ r AS (SELECT u.match_id, u.team_id, slot, CASE WHEN slot < 11 THEN u.team_id * 1
 iv AS (SELECT *, CASE WHEN slot < 11 THEN 0e0 WHEN slot = 11 THEN least(90, m1) WHEN slot = 12 AND match_id % 2 = 0 THEN 70e0 END AS s,
    CASE WHEN slot = 10 THEN least(90, m1) WHEN slot = 9 AND match_id % 2 = 0 THEN 70e0 WHEN slot < 12 THEN 90e0 WHEN slot = 12 AND match_id % 2 = 0 THEN 90e0 END AS e,
    match_id % 2 = 1 AND slot IN (12, 10) AS conflict FROM r),
-acts AS (SELECT e.match_id, e.player_id, e.team_id, (period - 1) * 45 + least(45, clock / 60) AS at, event_type = 'Pressure' AND k % 50 = 0 AS card
+acts AS (SELECT e.match_id, e.player_id, e.team_id, (period - 1) * 45 + least(45, clock / 60) AS "at", event_type = 'Pressure' AND k % 50 = 0 AS card
    FROM ev e JOIN ok USING (match_id) WHERE period < 5),
-cards AS (SELECT match_id, player_id, min(at) AS card_at FROM acts WHERE card GROUP BY ALL),
+cards AS (SELECT match_id, player_id, min(acts."at") AS card_at FROM acts WHERE card GROUP BY ALL),
 b AS (SELECT iv.*, card_at, least(e, CASE WHEN e IS NOT NULL THEN coalesce(card_at, e) END) AS fin FROM iv LEFT JOIN cards USING (match_id, player_id)),
-o AS (SELECT b.match_id, b.player_id, bool_or(b.s IS NULL OR NOT (a.at BETWEEN b.s - 2 AND b.fin + 2)) AS outside
+o AS (SELECT b.match_id, b.player_id, bool_or(b.s IS NULL OR NOT (a."at" BETWEEN b.s - 2 AND b.fin + 2)) AS outside
    FROM b JOIN acts a USING (match_id, player_id) GROUP BY ALL),
 z AS (SELECT b.*, o.outside, o.player_id IS NOT NULL AS acted, array_to_string(list_filter([
    CASE WHEN outside THEN 'action_outside_participation' END, CASE WHEN card_at < s THEN 'card_before_entry' END,
