@@ -187,19 +187,19 @@ def sequence_scan(
     edge = F.struct(*[F.col(c) for c in dict.fromkeys([*lag.values(), *lead.values()])]) if (
         lag or lead
     ) else F.struct(F.lit(1).alias("x"))
-    parts = parts.withColumn("_edge", edge)
+    parts = parts.withColumn("_sq_edge", edge)
     rank = F.struct(*[F.col(c) for c in order])
     chunks = parts.groupBy(*keys, "_chunk").agg(
-        F.min_by("_edge", rank).alias("_head"),
-        F.max_by("_edge", rank).alias("_tail"),
+        F.min_by("_sq_edge", rank).alias("_sq_head"),
+        F.max_by("_sq_edge", rank).alias("_sq_tail"),
         *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in running],
     )
     along = Window.partitionBy(*keys).orderBy("_chunk")
     borders = chunks.select(
         *keys,
         "_chunk",
-        F.lag("_tail").over(along).alias("_prev"),
-        F.lead("_head").over(along).alias("_next"),
+        F.lag("_sq_tail").over(along).alias("_sq_prev"),
+        F.lead("_sq_head").over(along).alias("_sq_next"),
         *[
             F.coalesce(
                 F.sum(f"_t_{name}").over(along.rowsBetween(Window.unboundedPreceding, -1)),
@@ -212,13 +212,13 @@ def sequence_scan(
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     scanned = parts.select(
         "*",
-        F.lag("_edge").over(local).alias("_lag"),
-        F.lead("_edge").over(local).alias("_lead"),
+        F.lag("_sq_edge").over(local).alias("_sq_lag"),
+        F.lead("_sq_edge").over(local).alias("_sq_lead"),
         *[F.sum(f"_v_{name}").over(upto).alias(f"_r_{name}") for name in running],
     ).join(borders, [*keys, "_chunk"])
     return scanned.select(
         *df.columns,
-        *[F.coalesce("_lag", "_prev").getField(c).alias(o) for o, c in lag.items()],
-        *[F.coalesce("_lead", "_next").getField(c).alias(o) for o, c in lead.items()],
+        *[F.coalesce("_sq_lag", "_sq_prev").getField(c).alias(o) for o, c in lag.items()],
+        *[F.coalesce("_sq_lead", "_sq_next").getField(c).alias(o) for o, c in lead.items()],
         *[(F.col(f"_r_{name}") + F.col(f"_o_{name}")).alias(name) for name in running],
     )
