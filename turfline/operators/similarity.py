@@ -172,8 +172,9 @@ def _nearest_kernel(keys: list[str], k: int, skip_self: bool, columns: list[str]
             a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
             qid, cid = left["id"].to_numpy(), right["id"].to_numpy()
             for start, d2 in _squares(a, b):
-                for r in range(len(d2)):
-                    row, me = d2[r], qid[start + r]
+                d = np.sqrt(d2)  # ties are decided on the distance itself
+                for r in range(len(d)):
+                    row, me = d[r], qid[start + r]
                     if skip_self:
                         row = np.where(cid == me, np.inf, row)
                     if len(row) > k:
@@ -184,7 +185,7 @@ def _nearest_kernel(keys: list[str], k: int, skip_self: bool, columns: list[str]
                     best = best[np.isfinite(row[best])]
                     out["id"].extend([me] * len(best))
                     out["neighbour"].extend(cid[best])
-                    out["distance"].extend(np.sqrt(row[best]))
+                    out["distance"].extend(row[best])
             for key in keys:
                 out[key] = [left[key].iloc[0]] * len(out["id"])
         return pd.DataFrame(out, columns=columns)
@@ -330,7 +331,7 @@ def counterpart_ranks(
     """
     keys = list(keys)
     a = first.select(*keys, F.col(ident).alias("id"), "vec")
-    b = second.select(*keys, F.col(ident).alias("id"), "vec")
+    b = _twin(second.select(*keys, F.col(ident).alias("id"), "vec"))
     twin = b.select(*keys, "id", F.col("vec").alias("twin"))
     gap = F.zip_with("vec", "twin", lambda x, y: (x - y) * (x - y))
     queries = a.join(twin, [*keys, "id"]).select(
