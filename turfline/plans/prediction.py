@@ -307,7 +307,7 @@ def source_bootstrap(v):
 @query(
     "identity_status",
     "K1",
-    """WITH r AS (SELECT l_suppkey % 40 AS player_id, p_name AS name, p_brand AS nationality, p_type AS gender FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 7 AND l_quantity > 40)
+    """WITH r AS (SELECT l_orderkey AS player_id, p_name AS name, p_brand AS nationality, p_type AS gender FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT player_id, count(*) AS records, array_to_string(list_filter([CASE WHEN count(DISTINCT name) > 1 THEN 'conflicting_names' END,
  CASE WHEN count(DISTINCT nationality) > 1 THEN 'conflicting_nationality' END, CASE WHEN count(DISTINCT gender) > 1 THEN 'conflicting_gender' END], lambda z: z IS NOT NULL), ';') AS reasons,
  CASE WHEN count(DISTINCT name) > 1 OR count(DISTINCT nationality) > 1 OR count(DISTINCT gender) > 1 THEN 'quarantined' ELSE 'provider_id_consistent_metadata' END AS status FROM r GROUP BY player_id""",
@@ -315,10 +315,9 @@ SELECT player_id, count(*) AS records, array_to_string(list_filter([CASE WHEN co
 def identity_status(v):
     rows = (
         v.table("lineitem")
-        .where((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40))
         .join(v.table("part"), F.col("p_partkey") == F.col("l_partkey"))
         .select(
-            (F.col("l_suppkey") % 40).alias("player_id"), F.col("p_name").alias("name"),
+            F.col("l_orderkey").alias("player_id"), F.col("p_name").alias("name"),
             F.col("p_brand").alias("nationality"), F.col("p_type").alias("gender"),
         )
     )
