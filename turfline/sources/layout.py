@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 and size of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.regexp_replace("path", f"^.*{re.escape(path.rstrip('/'))}/", "").alias("file"),
         F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("bytes"),
     )

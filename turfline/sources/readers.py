@@ -68,7 +68,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     A source sheet is a small file and is read whole, so its numbering needs no
     shuffle.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return whole.select(
         name.alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("place", "raw")
@@ -92,7 +92,7 @@ def read_csv_families(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     parts = None
     for kind, path in paths.items():
         df = spark.read.option("header", True).csv(path)
-        pairs = [F.lit(v) for v in ()]
+        pairs = []
         for c in df.columns:
             pairs += [F.lit(c), F.col(c)]
         part = df.select(F.lit(kind).alias("kind"), F.create_map(*pairs).alias("record"))
