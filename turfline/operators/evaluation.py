@@ -212,9 +212,13 @@ def select_threshold(results: DataFrame, share: float = 0.9) -> DataFrame:
     provider = results.groupBy("threshold", "provider").agg(
         (F.sum(F.col("mrr") * F.col("queries")) / F.sum("queries")).alias("score")
     )
-    macro = provider.groupBy("threshold").agg(F.avg("score").alias("score"))
+    macro = provider.groupBy("threshold").agg(
+        F.avg("score").alias("score"), F.count(F.lit(1)).alias("sides")
+    )
+    macro = macro.where(F.col("sides") == 2)  # both providers must have evidence
     best = macro.agg(F.max("score").alias("best"))  # one row
-    passed = macro.join(F.broadcast(best)).where(F.col("score") >= share * F.col("best"))
+    reached = F.col("score") + 1e-12 >= share * F.col("best")
+    passed = macro.join(F.broadcast(best)).where(reached)
     return passed.agg(F.min("threshold").alias("threshold"))
 
 
