@@ -24,7 +24,8 @@ rm AS (SELECT destination_role, sum(destination_passes) / sum(destination_minute
 om AS (SELECT sum(destination_passes) / sum(destination_minutes / 90) AS mean FROM ep WHERE part = 'train'),
 pr AS (SELECT ep.*, coalesce(role_mean, mean) AS point FROM ep LEFT JOIN rm USING (destination_role), om WHERE part = 'test'),
 fd AS (SELECT *, {FOLD.format(k="CAST(player_id AS VARCHAR)")} AS fold FROM ep WHERE part = 'train'),
-rs AS (SELECT actual - (SELECT sum(b.destination_passes) / sum(b.destination_minutes / 90) FROM fd b WHERE b.destination_role = a.role AND b.fold <> a.fold) AS r
+rs AS (SELECT actual - coalesce((SELECT sum(b.destination_passes) / sum(b.destination_minutes / 90) FROM fd b WHERE b.destination_role = a.role AND b.fold <> a.fold),
+   (SELECT sum(b.destination_passes) / sum(b.destination_minutes / 90) FROM fd b WHERE b.fold <> a.fold)) AS r
   FROM (SELECT actual, destination_role AS role, fold FROM fd) a),
 ct AS (SELECT r - (SELECT avg(r) FROM rs) AS residual FROM rs),
 dw AS (SELECT pr.source_environment_id AS sid, actual, point, {", ".join(f"quantile_cont(greatest(0, point + residual), {q}) AS {n}" for n, q in K.interval_probs().items())}
