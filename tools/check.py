@@ -10,6 +10,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def plain(value):
     if isinstance(value, bool) or value is None or isinstance(value, str):
         return value
@@ -55,6 +61,7 @@ def compare(spark, con, folder, name, entry):
     started = time.time()
     cur = con.execute(entry.sql)
     columns = [d[0] for d in cur.description]
+    types = {d[0]: str(d[1]) for d in cur.description}
     want = cur.fetchall()
     oracle = time.time() - started
     if sorted(df.columns) != sorted(columns):
@@ -63,7 +70,11 @@ def compare(spark, con, folder, name, entry):
     if a != b:
         bad = [(x, y) for x, y in zip(a, b) if x != y][:3]
         return f"DIFF rows {len(a)} vs {len(b)} {sorted(columns)} {bad}", took, False
-    return f"ok {len(a)} rows (oracle {oracle:.1f}s)", took, True
+    odd = {
+        c: (t, types[c]) for c, t in df.dtypes if TYPES.get(t, t) != types[c] and types[c] != "NUMBER"
+    }
+    note = f" types {odd}" if odd else ""
+    return f"ok {len(a)} rows (oracle {oracle:.1f}s){note}", took, True
 
 
 def main():

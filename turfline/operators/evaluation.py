@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turfline.functions.measures import digest_fold, md5_int, reason_list
 from turfline.operators.ordering import average_rank, quantile_columns, row_index, value_ladder
 from turfline.operators.profiles import melt
+from turfline.session import settle
 
 EULER = 0.5772156649015329
 
@@ -71,8 +72,9 @@ def resample(
     (key, place), so a key with many rows spreads over all tasks. Picked twice is
     stored once with a multiplicity.
     """
-    numbered = row_index(rows, keys, order, ident, "_place")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    # Read three times below, so the numbering is written once.
+    numbered = settle(row_index(rows, keys, order, ident, "_place"), "numbered")
+    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     slots = numbered.select(*keys, F.col("_place").alias("_slot")).join(sizes, list(keys))
     picks = (
         slots.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
@@ -271,8 +273,6 @@ def detectability(
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from turfline.session import settle
-
     keyed = rows.select(ident, *strata, F.col(label).cast("int").alias("label"), *features).withColumn(
         "_h", md5_int(F.lit("match"), ident)
     )

@@ -515,6 +515,8 @@ def roster_minutes(
             "finish": F.least(F.col("span.e"), F.when(F.col("span").isNotNull(), F.col("card_at"))),
         }
     )
+    # Participation rows meet the actions twice more: write them once.
+    base = settle(base, "rosters")
     judged = acts.select("match_id", "player_id", F.col("team_id").alias("actor_team"), "at").join(
         base.select("match_id", "player_id", "team_id", "begin", "finish"), ["match_id", "player_id"]
     )

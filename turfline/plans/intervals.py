@@ -9,6 +9,7 @@ from turfline.operators import counting as C
 from turfline.operators import intervals as I
 from turfline.operators.periods import period_ends
 from turfline.plans.registry import query
+from turfline.session import settle
 
 ENDS = """ends AS (SELECT match_id, period, length, coalesce(sum(length) OVER (PARTITION BY match_id ORDER BY period
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS "offset" FROM (
@@ -74,6 +75,7 @@ def match_sheets(v):
     units = v.ev.select("match_id", "team_id").distinct().join(
         length.where(F.col("l1").isNotNull() & F.col("l2").isNotNull()), "match_id"
     )
+    units = settle(units, "units")
     uid = F.col("match_id") * 1000000 + F.col("team_id") * 10
     none, boolean = F.lit(None).cast("bigint"), F.lit(None).cast("boolean")
 
