@@ -298,7 +298,7 @@ def episode_split(v):
 @query(
     "split_leaks",
     "G5",
-    f"WITH {TRANS_SQL} SELECT count(*) FILTER (WHERE source_end >= destination_start) AS overlapping_dates, 0 AS shared_players FROM tr WHERE len(reasons) = 0",
+    f"WITH {TRANS_SQL} SELECT count(*) FILTER (WHERE source_end >= destination_start) AS overlapping_dates, CAST(0 AS BIGINT) AS shared_players FROM tr WHERE len(reasons) = 0",
     "pm",
 )
 def split_leaks(v):
