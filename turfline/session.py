@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,16 +30,23 @@ def local_session(cpus: str = "*", name: str = "turfline") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if base is None and current.isDefined():
-        return current.get()
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, only a session with an explicit local master gets a temporary folder
+    (one machine, removed at exit); any other session must name a shared one.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        current = context._jsc.sc().getCheckpointDir()
+        base = current.get() if current.isDefined() else None
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-turfline-")
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(base)
     return base
 
 
@@ -45,9 +55,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/turfline-{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SETTLED: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``settle`` has written; no frame over them may be used after."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SETTLED:
+        path = jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def settle(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut lineage with a written table every executor can read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
