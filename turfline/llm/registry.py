@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
     "jump_shards",
+    "pivot_search",
     "water_filling",
 ]
 
