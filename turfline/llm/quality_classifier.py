@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes support vectors (Wang and Manning 2012).
 
-A text becomes indicators of its hashed n-grams: bytes in runs of 1 to 4, and words alone
-and in pairs. Each indicator is scaled by the log-count ratio of the two classes, the vector
+A text becomes indicators of its hashed n-grams: bytes in runs of 1 to 4, words alone and in
+pairs, and the patterns of word runs: one word 2, 3 or 4 times in a row, and words that come
+back at distance 2 or 3 throughout a run of 4 or 6. Each indicator is scaled by the log-count ratio of the two classes, the vector
 is brought to length one, and a linear hinge-loss model with bias is fitted by dual
 coordinate descent. A logistic curve, fitted on rows the model has not seen, turns margins
 into scores.
@@ -37,6 +38,18 @@ DIMS = 1 << 18
 ROUNDS, PASSES, COST, SMOOTH = 8, 3, 1.0, 1.0
 
 
+def word_patterns(words: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(words spanned, flags by first word) of the repetition patterns."""
+    out = []
+    for lag, times in ((1, 1), (1, 2), (1, 3), (2, 2), (3, 3)):
+        same = words[lag:] == words[:-lag]
+        flags = same[: max(len(same) - times + 1, 0)].copy()
+        for t in range(1, times):
+            flags &= same[t : t + len(flags)]
+        out.append((lag + times, flags))
+    return out
+
+
 def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted feature numbers of each text."""
     seen = np.zeros(DIMS, bool)
@@ -53,6 +66,7 @@ def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
         pairs = mix64(words[:-1] * np.uint64(3) + words[1:]) if len(words) else words
         single, double = (words >> shift).astype(np.int32), (pairs >> shift).astype(np.int32)
         bounds = np.searchsorted(rows, np.arange(len(offsets)))
+        patterns = word_patterns(words)
         for i in range(len(offsets) - 1):
             a, b = offsets[i], offsets[i + 1]
             for n, gram in enumerate(grams, 1):
@@ -62,6 +76,9 @@ def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
             seen[single[u:v]] = True
             if v - u > 1:
                 seen[double[u : v - 1]] = True
+            for number, (span, flags) in enumerate(patterns):
+                if v - u >= span and flags[u : v - span + 1].any():
+                    seen[number] = True
             found = np.flatnonzero(seen)
             seen[found] = False
             yield found

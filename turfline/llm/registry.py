@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
+    "quality_classifier",
+    "token_ans",
     "jump_shards",
     "pivot_search",
     "water_filling",
