@@ -14,6 +14,7 @@ MODULES = [
     "jump_shards",
     "pivot_search",
     "water_filling",
+    "template_leaks",
 ]
 
 
