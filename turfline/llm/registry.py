@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = [
     "quality_classifier",
     "token_ans",
+    "secret_guess_cost",
     "circulant_minhash",
     "jump_shards",
     "pivot_search",
