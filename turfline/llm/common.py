@@ -86,19 +86,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, rows) of the maximal runs without white space; words never cross rows."""
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, rows) of the maximal runs without white space; words never cross rows.
+    ``cuts`` marks the bytes, and the end, at which another word begins all the same."""
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
     solid = ~_IS_SPACE[data]
-    begins = np.zeros(len(data) + 1, bool)
+    begins = np.zeros(len(data) + 1, bool) if cuts is None else cuts.copy()
     begins[offsets[:-1]] = True
     before = np.concatenate([[False], solid[:-1]])
     starts = np.flatnonzero(solid & (~before | begins[:-1]))
@@ -127,7 +130,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def words_of(texts, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, rows relative to the first) of each slice of texts."""
     for first, end, data, offsets in text_slices(texts):
-        folded = _LOWER[data] if lower else data
+        folded = LOWER[data] if lower else data
         starts, ends, rows = word_bounds(folded, offsets)
         yield first, end, span_hashes(folded, starts, ends), rows
 

@@ -200,10 +200,10 @@ def open_frames(frames: list[bytes], table: Frequencies) -> Iterator[tuple[list,
 
 def _tokenised(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = chunk_ids(path), END_ID.to_bytes(2, "little")
+        known = chunk_ids(path, END_ID)
         for batch in batches:
-            ids = [known.of(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = known.encode(batch.column(1)).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return run
 
