@@ -7,11 +7,16 @@ pair of similarity 0.8 but for 5 in 10 million; every candidate is verified on f
 
 1. One pass over the whole texts: set size, a 128-bit digest of the set, 48 band keys.
 2. Documents of one digest are one node, named by the least doc_id. Copies go no further.
-3. Buckets of one band key compare every node with the bucket's least node (a star, never
-   all pairs); verified links are joined into components.
-4. Nodes that are in another component than their bucket's least node meet all nodes of the
-   bucket that are in other components than they are. So every candidate pair is verified
-   or is already linked through others, and no link is lost.
+3. Every bucket of a band key has a centre, the node whose buckets are fullest, so one of
+   the least changed copies. Nodes are compared with their best centre, then with those
+   centres that are not yet in their component; verified links are joined.
+4. A node apart from a centre may still be like another node of that centre. Both differ
+   from a common reference R (the centre and what most of its nodes add): u lacks M of R and
+   adds E. Two sets are similar iff |D(u) ^ D(y)| <= b, D = M + E, b = (|u| + |y|) (100 - p) /
+   (100 + p). As they share at most min(m, m') lacks, either e + e' + |m - m'| <= b, or they
+   share additions, enough of them. Only such pairs are verified: the others cannot be links.
+
+So every candidate pair is verified, excluded by this bound, or linked through others.
 
 Defined results: null or white texts have the empty set, are linked with nothing and kept;
 a text of fewer words than a shingle is one shingle; rows that share a doc_id are versions
@@ -125,33 +130,79 @@ def _sets(width: int):
     return run
 
 
-def _linked(percent: int):
+def _compared(extras: bool):
+    """Sizes and overlap of each pair; on request what the first set adds to the second."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            sizes, others, shared, added = [], [], [], []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
                 both = np.sort(np.concatenate([x, y]))
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
+                sizes.append(len(x))
+                others.append(len(y))
+                shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
+                if extras:
+                    added.append(signed(np.setdiff1d(x, y, assume_unique=True)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in added])]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*added, np.zeros(0, np.int64)]))) if extras else pa.nulls(len(sizes), pa.list_(pa.int64()))
+            numbers = [pa.array(c, pa.int64()) for c in (sizes, others, shared)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *numbers, lists], ["u", "v", "nu", "nv", "shared", "extras"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough, settled."""
-    pairs = settle(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(nodes, "doc_id", "left_semi")
-    sets = settle(texts.mapInArrow(_sets(width), "node long, shingles binary"), "sets")
-    first = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+def compared(pairs: DataFrame, sets: DataFrame, extras: bool = False) -> DataFrame:
+    """(u, v, nu, nv, shared, extras) of the pairs (u, v), from full sets. Settled."""
+    first = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = first.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    return settle(both.mapInArrow(_linked(percent), "u long, v long").distinct(), "links")
+    return settle(both.mapInArrow(_compared(extras), "u long, v long, nu long, nv long, shared long, extras array<long>"), "compared")
+
+
+def similar(rows: DataFrame, percent: int) -> DataFrame:
+    """The links (u, v) among compared pairs."""
+    return rows.where(100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared"))).select("u", "v")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """Add the component of a node column; a node without links is its own."""
+    own = labels.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def hidden_pairs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes of one centre that may be links though one is apart from the
+    centre; ``stars`` has (node, centre, own, at): components of node and centre."""
+    apart = F.col("own") != F.col("at")
+    open_centres = stars.where(apart).select("centre").distinct()
+    near = settle(stars.join(open_centres, "centre", "left_semi").withColumn("apart", apart), "open")
+    seen = compared(near.select(F.col("node").alias("u"), F.col("centre").alias("v")), sets, extras=True)
+    added = seen.select(F.col("v").alias("centre"), F.col("u").alias("node"), F.explode("extras").alias("s"))
+    crowd = near.groupBy("centre").agg(F.count("*").alias("nodes"))
+    common = added.groupBy("centre", "s").agg(F.count("*").alias("times")).where("times > 1").join(crowd, "centre")
+    common = settle(common.where(2 * F.col("times") > F.col("nodes")).select("centre", "s"), "common")
+    of_all = common.groupBy("centre").agg(F.count("*").alias("all"))
+    of_node = added.join(common, ["centre", "s"]).groupBy("centre", "node").agg(F.count("*").alias("has"))
+    facts = near.join(seen.select(F.col("v").alias("centre"), F.col("u").alias("node"), "nu", "nv", "shared"), ["centre", "node"])
+    facts = facts.join(of_all, "centre", "left").join(of_node, ["centre", "node"], "left").fillna(0, ["all", "has"])
+    lacks = F.col("nv") - F.col("shared") + F.col("all") - F.col("has")
+    facts = settle(
+        facts.select("centre", "node", "own", "apart", F.col("nu").alias("n"), lacks.alias("m"), (F.col("nu") - F.col("shared") - F.col("has")).alias("e")),
+        "facts",
+    )
+    u, y = F.col("x"), F.col("y")
+    bound = (u["n"] + y["n"]) * (100 - percent) / (100 + percent) + 1e-9
+    open_pair = (u["own"] != y["own"]) & (~y["apart"] | (u["node"] < y["node"]))
+    whole = F.struct("node", "own", "apart", "n", "m", "e")
+    left, right = facts.where("apart").select("centre", whole.alias("x")), facts.select("centre", whole.alias("y"))
+    close = left.join(right, "centre").where(open_pair & (u["e"] + y["e"] + F.abs(u["m"] - y["m"]) <= bound))
+    rare = added.join(common, ["centre", "s"], "left_anti").join(facts, ["centre", "node"])
+    left, right = rare.where("apart").select("centre", "s", whole.alias("x")), rare.select("centre", "s", whole.alias("y"))
+    both = left.join(right, ["centre", "s"]).where(open_pair).groupBy("centre", "x", "y").agg(F.count("*").alias("times"))
+    needed = (u["m"] + u["e"] + y["m"] + y["e"] - bound) / 2 - F.least(u["m"], y["m"])
+    both = both.where(F.col("times") >= needed)
+    pick = [F.col("x.node").alias("u"), F.col("y.node").alias("v")]
+    return close.select(*pick).union(both.select(*pick)).distinct()
 
 
 def near_duplicates(
@@ -166,22 +217,29 @@ def near_duplicates(
     groups = linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("uid").alias("first_uid"), F.first("bands").alias("bands"))
     groups = settle(groups, "groups")
     filed = groups.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("key"))
-    least = filed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"))
-    shared = least.where("centre <> other").select("key", "centre")
-    members = settle(filed.join(shared, "key"), "members")
-    links = verified(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")), docs, width, percent)
+    full = filed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = settle(filed.join(full, "key"), "members")
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    heaviest = F.max_by("node", F.struct("weight", -F.col("node")))
+    centres = members.join(weights, "node").groupBy("key").agg(heaviest.alias("centre"), F.max("weight").alias("pull"))
+    stars = members.join(centres, "key").where("node <> centre").select("node", "centre", "pull").distinct()
+    stars = settle(stars, "stars")
+
+    nodes = stars.select(F.col("node").alias("doc_id")).union(stars.select(F.col("centre").alias("doc_id"))).distinct()
+    whole = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(nodes, "doc_id", "left_semi")
+    sets = settle(whole.mapInArrow(_sets(width), "node long, shingles binary"), "sets")
+    best = stars.groupBy("node").agg(F.max_by("centre", F.struct("pull", -F.col("centre"))).alias("centre"))
+    best = best.select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    links = similar(compared(best, sets), percent)
     labels = settle(components(links), "labels")
-
-    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    centres = labels.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
-    named = named.join(centres, "centre", "left").withColumn("centre_component", F.coalesce("centre_component", "centre"))
-    named = settle(named, "named")
-    apart = named.where("component <> centre_component").select("key", F.col("node").alias("u"), F.col("component").alias("own"))
-    rest = named.where("node <> centre").join(apart, "key").where(
-        "component <> own and (component = centre_component or node < u)"
-    )
-    more = verified(rest.select("u", F.col("node").alias("v")), docs, width, percent)
-    labels = settle(components(links.union(more)), "labels")
+    for left_over in (False, True):
+        named = settle(labelled(labelled(stars, labels, "node", "own"), labels, "centre", "at"), "named")
+        if left_over:
+            pairs = hidden_pairs(named, sets, percent)
+        else:
+            pairs = named.where("own <> at").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+        links = links.union(similar(compared(pairs, sets), percent))
+        labels = settle(components(links), "labels")
 
     known = groups.join(labels, "node", "left").select("digest", "first_uid", F.coalesce("component", "node").alias("component_id"))
     joined = profiles.drop("bands").join(known, "digest", "left")
