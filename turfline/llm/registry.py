@@ -11,6 +11,7 @@ MODULES = [
     "quality_classifier",
     "token_ans",
     "secret_guess_cost",
+    "disclosure",
     "circulant_minhash",
     "jump_shards",
     "pivot_search",
