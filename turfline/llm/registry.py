@@ -12,6 +12,7 @@ MODULES = [
     "token_ans",
     "secret_guess_cost",
     "disclosure",
+    "attention_lm",
     "circulant_minhash",
     "jump_shards",
     "pivot_search",
