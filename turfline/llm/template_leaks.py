@@ -69,6 +69,8 @@ class Words(dict):
     def __init__(self):
         super().__init__()
         self.rows: list[tuple[int, int, bool, str]] = []
+        self.known = 0
+        self.arrays = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
 
     def __missing__(self, chunk: str) -> int:
         core = OUTER.sub("", chunk)
@@ -90,24 +92,27 @@ class Words(dict):
         return number
 
     def facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, kinds and sentence ends of all entries."""
-        return (
-            np.array([r[0] for r in self.rows], np.uint64), np.array([r[1] for r in self.rows], np.int64),
-            np.array([r[2] for r in self.rows], bool),
-        )
+        """Hashes, kinds and sentence ends of all entries; only new ones are filled in."""
+        while len(self.rows) > len(self.arrays[0]):
+            self.arrays = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.arrays)
+        if new := self.rows[self.known :]:
+            for column, array in enumerate(self.arrays):
+                array[self.known : len(self.rows)] = [r[column] for r in new]
+            self.known = len(self.rows)
+        return self.arrays
 
 
 def canonical(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(template codes, kinds, entries, rows) of the words of all texts."""
-    entry, opens, owner = [], [], []
+    entry, opens, sizes = [], [], np.zeros(len(texts), np.int64)
     for row, text in enumerate(texts):
+        before = len(entry)
         for line in (text or "").split("\n"):
-            own = list(map(words.__getitem__, line.split()))
-            if own:
-                opens.append(len(entry))
-                owner += [row] * len(own)
-                entry += own
-    entry, rows = np.array(entry, np.int64), np.array(owner, np.int64)
+            opens.append(len(entry))
+            entry += map(words.__getitem__, line.split())
+        sizes[row] = len(entry) - before
+    entry, rows = np.array(entry, np.int64), np.repeat(np.arange(len(texts)), sizes)
+    opens = [o for o in opens if o < len(entry)]
     hashes, kind_of, ends_of = words.facts()
     if not len(entry):
         return np.zeros(0, np.uint64), entry, entry, rows
