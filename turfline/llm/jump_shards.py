@@ -95,11 +95,16 @@ def with_slots(assigned: DataFrame) -> DataFrame:
     return slotted.drop("part", "place", "before")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` in one folder per shard; a shard is cut into pieces by a digest, so no
-    task holds a whole shard."""
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``docs`` with size, shard and grown_shard; columns of these names are replaced."""
     key = F.col("doc_id").cast("long")
-    docs.withColumn("shard", shard_of(key, shards)).write.partitionBy("shard").parquet(path)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    return docs.withColumns({"size": size, "shard": shard_of(key, shards), "grown_shard": shard_of(key, shards + 1)})
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Write ``docs`` in one folder per shard, every task its own rows of each shard."""
+    sharded(docs, shards).write.partitionBy("shard").parquet(path)
 
 
 QUERY = "op7_jump_shards"
