@@ -5,7 +5,8 @@ placeholders that keep what they stood for as a slot. A name is a word with one
 its start that does not open a sentence; a unit is a listed word right after a number, or
 the tail of one (5kg). Every window of ``WINDOW`` words of a benchmark item and of a
 document has a 64-bit template hash. The hashes of all items mark a bit table of fixed size; document windows
-that miss it cannot match, the others are hash-joined with the items' windows.
+that miss it cannot match, the others are hash-joined with the items' windows. Windows with
+placeholders are also hashed as they stand, so that a copy in other capitals matches too.
 
 An item leaks into a document if matched windows cover at least ``COVER`` of its words
 along one alignment (up to ``DRIFT`` words of insertions or losses), and the slots agree:
@@ -102,8 +103,8 @@ class Words(dict):
         return self.arrays
 
 
-def canonical(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template codes, kinds, entries, rows) of the words of all texts."""
+def canonical(texts: list[str | None], words: Words) -> tuple[np.ndarray, ...]:
+    """(template codes, kinds, entries, rows, literal codes) of the words of all texts."""
     entry, opens, sizes = [], [], np.zeros(len(texts), np.int64)
     for row, text in enumerate(texts):
         before = len(entry)
@@ -115,7 +116,7 @@ def canonical(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.nda
     opens = [o for o in opens if o < len(entry)]
     hashes, kind_of, ends_of = words.facts()
     if not len(entry):
-        return np.zeros(0, np.uint64), entry, entry, rows
+        return np.zeros(0, np.uint64), entry, entry, rows, np.zeros(0, np.uint64)
     codes, kinds = hashes[entry], kind_of[entry]
     start = np.zeros(len(entry), bool)
     start[opens] = True
@@ -133,22 +134,32 @@ def canonical(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.nda
         kinds = np.where(tail, UNIT, np.where(kinds == Words.GLUED, NUMBER, kinds))
     solid = kinds != Words.EMPTY
     codes, kinds, entry, rows = codes[solid], kinds[solid], entry[solid], rows[solid]
-    return np.where(kinds > 0, kinds.astype(np.uint64), codes), kinds, entry, rows
+    return np.where(kinds > 0, kinds.astype(np.uint64), codes), kinds, entry, rows, codes
 
 
-def window_hashes(codes: np.ndarray, kinds: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first words) of the windows of ``width`` words that hold enough plain words."""
+def window_hashes(
+    codes: np.ndarray, kinds: np.ndarray, rows: np.ndarray, literal: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first words, whether literal) of the windows of ``width`` words: as templates if
+    they hold enough plain words, and as they stand if they hold placeholders."""
     n = max(len(codes) - width + 1, 0)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    runs, plain, mixed = np.zeros(n, np.uint64), np.zeros(n, np.int64), mix64(codes)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            runs = runs * np.uint64(0xD1342543DE82EF95) + mixed[j : j + n]
-            plain += kinds[j : j + n] == 0
-        runs = mix64(runs + np.uint64(width))
-    at = np.flatnonzero((rows[:n] == rows[width - 1 :]) & (plain >= PLAIN))
-    return runs[at], at
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    plain = np.zeros(n, np.int64)
+    for j in range(width):
+        plain += kinds[j : j + n] == 0
+    inside = rows[:n] == rows[width - 1 :]
+
+    def rolled(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        runs, mixed = np.zeros(len(at), np.uint64), mix64(values)
+        with np.errstate(over="ignore"):
+            for j in range(width):
+                runs = runs * np.uint64(0xD1342543DE82EF95) + mixed[at + j]
+            return mix64(runs + np.uint64(width))
+
+    shapes, exact = np.flatnonzero(inside & (plain >= PLAIN)), np.flatnonzero(inside & (plain < width) & (width >= PLAIN))
+    hashes = np.concatenate([rolled(codes, shapes), rolled(literal, exact)])
+    return hashes, np.concatenate([shapes, exact]), np.repeat([False, True], [len(shapes), len(exact)])
 
 
 def _slots(kinds: np.ndarray, entries: np.ndarray, words: Words, at: int, width: int) -> list[str]:
@@ -162,13 +173,14 @@ ITEMS = "item_id long, n_words int, place int, width int, hash long, slots array
 def _item_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         words, out = Words(), []
-        codes, kinds, entries, rows = canonical(frame["text"].tolist(), words)
+        codes, kinds, entries, rows, literal = canonical(frame["text"].tolist(), words)
         bounds = np.searchsorted(rows, np.arange(len(frame) + 1))
         for item, a, b in zip(frame["item_id"], bounds[:-1], bounds[1:], strict=True):
             width = min(WINDOW, b - a)
-            hashes, firsts = window_hashes(codes[a:b], kinds[a:b], rows[a:b], width) if width else ([], [])
-            for h, at in zip(hashes, firsts, strict=True):
-                out.append((item, b - a, at, width, int(h.view(np.int64)), _slots(kinds, entries, words, a + at, width)))
+            found = window_hashes(codes[a:b], kinds[a:b], rows[a:b], literal[a:b], width) if width else ([], [], [])
+            for h, at, exact in zip(*found, strict=True):
+                slots = [] if exact else _slots(kinds, entries, words, a + at, width)
+                out.append((item, b - a, at, width, int(h.view(np.int64)), slots))
         yield pd.DataFrame(out, columns=["item_id", "n_words", "place", "width", "hash", "slots"])
 
 
@@ -201,16 +213,17 @@ def _matched(shared, widths: list[int]):
                     end += 1
                 if len(words.rows) > Words.KEPT:
                     words = Words()
-                codes, kinds, entries, rows = canonical(texts[first:end], words)
+                codes, kinds, entries, rows, literal = canonical(texts[first:end], words)
                 starts, out = np.searchsorted(rows, np.arange(end - first)), []
                 for width in widths:
-                    hashes, places = window_hashes(codes, kinds, rows, width)
+                    hashes, places, exact = window_hashes(codes, kinds, rows, literal, width)
                     marks = hashes >> np.uint64(64 - MARKS)
                     hit = (table[(marks >> np.uint64(6)).astype(np.int64)] >> (marks & np.uint64(63))) & np.uint64(1)
                     for i in np.flatnonzero(hit):
                         at = int(places[i])
                         row = int(rows[at])
-                        out.append((uids[first + row], ids[first + row], at - int(starts[row]), int(hashes[i].view(np.int64)), _slots(kinds, entries, words, at, width)))
+                        slots = [] if exact[i] else _slots(kinds, entries, words, at, width)
+                        out.append((uids[first + row], ids[first + row], at - int(starts[row]), int(hashes[i].view(np.int64)), slots))
                 if out:
                     kinds_of = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
                     columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)]
@@ -238,7 +251,7 @@ LEAKS = "doc_id long, item_id long, coverage double, changed_slots int, first_wo
 def _judged(cover: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """The best alignment of one item in one document, if it is a leak."""
-        frame = frame.drop_duplicates(["at", "place", "width"])
+        frame = frame.assign(n=-frame["slots"].map(len)).sort_values("n", kind="stable").drop_duplicates(["at", "place", "width"])
         shift = (frame["at"] - frame["place"]).to_numpy()
         frame = frame.iloc[np.lexsort((frame["at"], shift))]
         shift = np.sort(shift)
