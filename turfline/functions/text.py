@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turfline.functions.constants import UUID_NAMESPACE_URL
 from turfline.functions.measures import col, literal_map
@@ -52,21 +52,24 @@ def clock_seconds(text) -> Column:
     )
 
 
+# Part of a position's name -> group, in order of precedence. A part that
+# starts with "=" is the whole name.
+POSITION_PARTS = [
+    ("goalkeeper", "GK"), ("center back", "CB"), ("central defender", "CB"), ("back", "FB/WB"), ("defensive midfield", "DM"),
+    ("attacking midfield", "AM"), ("wing", "W"), ("=left midfield", "W"), ("=right midfield", "W"), ("midfield", "CM"),
+    ("forward", "ST"), ("striker", "ST"),
+]
+
+
 def position_group(name) -> Column:
-    """Position name to one of eight groups; the first matching rule wins."""
-    n = F.replace(F.lower(col(name)), F.lit("centre"), F.lit("center"))
-    has = lambda s: n.contains(s)
-    return (
-        F.when(n.isNull() | (n == ""), F.lit(None).cast("string"))
-        .when(has("goalkeeper"), "GK")
-        .when(has("center back") | has("central defender"), "CB")
-        .when(has("back"), "FB/WB")
-        .when(has("defensive midfield"), "DM")
-        .when(has("attacking midfield"), "AM")
-        .when(has("wing") | n.isin("left midfield", "right midfield"), "W")
-        .when(has("midfield"), "CM")
-        .when(has("forward") | has("striker"), "ST")
-    )
+    """Position name to one of eight groups; the first part of the table that fits decides."""
+    plain = F.replace(F.lower(col(name)), F.lit("centre"), F.lit("center"))
+
+    def step(part: str, group: str, otherwise: Column) -> Column:
+        fits = plain == part[1:] if part.startswith("=") else plain.contains(part)
+        return F.when(fits, group).otherwise(otherwise)
+
+    return reduce(lambda rest, rule: step(*rule, rest), reversed(POSITION_PARTS), F.lit(None).cast("string"))
 
 
 # Group or provider code -> broad family.
@@ -96,49 +99,68 @@ def decode_escapes(name) -> Column:
     )
 
 
-def _latin_fold() -> tuple[str, str, list[tuple[str, str]]]:
-    """Single and multi character foldings of the Latin blocks, by Unicode rule."""
-    plain, folded, longer = [], [], []
-    for point in [*range(0x00A0, 0x0250), *range(0x1E00, 0x1F00)]:
+HANGUL = range(0xAC00, 0xD7A4)
+
+
+def _fold_exact(text: str) -> str:
+    kept = (c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return "".join(kept).casefold()
+
+
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What folding does to single characters of all scripts, by Unicode rule: characters and
+    their one-character forms, followed by the characters that vanish; and longer forms.
+    Hangul syllables, which fold by arithmetic, are left out."""
+    plain, folded, gone, longer = [], [], [], {}
+    for point in range(0x80, 0x110000):
+        if 0xD800 <= point < 0xE000 or point in HANGUL:
+            continue
         char = chr(point)
         base = _fold_exact(char)
         if base == char:
             continue
-        if len(base) == 1:
+        if not base:
+            gone.append(char)
+        elif len(base) == 1:
             plain.append(char)
             folded.append(base)
         else:
-            longer.append((char, base))
-    return "".join(plain), "".join(folded), longer
+            longer[char] = base
+    capitals = [chr(c) for c in range(65, 91)]
+    return "".join([*capitals, *plain, *gone]), "".join([*(c.lower() for c in capitals), *folded]), longer
 
 
-def _fold_exact(text: str) -> str:
-    kept = (c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return "".join(kept).casefold()
+def _jamo(char: Column) -> Column:
+    """The two or three letters of a Hangul syllable."""
+    at = F.ascii(char) - HANGUL.start
+    part = lambda first, n: F.array(*[F.lit(chr(first + i)) for i in range(n)])
+    tail = F.array(F.lit(""), *[F.lit(chr(0x11A8 + i)) for i in range(27)])
+    return F.concat(
+        F.element_at(part(0x1100, 19), F.floor(at / 588).cast("int") + 1),
+        F.element_at(part(0x1161, 21), F.floor(at % 588 / 28).cast("int") + 1),
+        F.element_at(tail, (at % 28).cast("int") + 1),
+    )
 
 
 def normalise_name(name) -> Column:
-    """Accent-free, case-folded, punctuation to space, single spaces (Latin scripts)."""
-    plain, folded, longer = _latin_fold()
+    """NFKD without combining marks, case-folded, punctuation to space, single spaces, in
+    every script. Characters with longer forms are rare; only texts that hold one are split."""
+    plain, folded, longer = _folds()
     raw = col(name)
-    several = "[" + "".join(c for c, _ in longer) + "]"
-    expanded = raw
-    for char, base in longer:
-        expanded = F.replace(expanded, F.lit(char), F.lit(base))
-    text = F.when(raw.rlike(several), expanded).otherwise(raw)
-    text = F.lower(F.translate(text, plain, folded))
-    text = F.regexp_replace(text, r"\p{M}", "")
+    syllable = f"[{chr(HANGUL.start)}-{chr(HANGUL.stop - 1)}]"
+    several = "[" + "".join(re.escape(c) for c in longer) + "]"
+    forms = literal_map(longer)
+    each = F.transform(
+        F.split(raw, ""),
+        lambda c: F.when(c.rlike(syllable), _jamo(c)).when(c.rlike(several), F.element_at(forms, c)).otherwise(c),
+    )
+    text = F.when(raw.rlike(syllable) | raw.rlike(several), F.array_join(each, "")).otherwise(raw)
+    text = F.translate(text, plain, folded)
     text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def normalise_name_any_script(names: pd.Series) -> pd.Series:
-    """B16 for every script: Arrow batches through the Unicode database."""
-    folded = names.map(_fold_exact, na_action="ignore")
-    return folded.str.replace(r"[^\w\s]", " ", regex=True).str.split().str.join(" ")
-
-
 def season_years(label) -> tuple[Column, Column]:
     """B18: '2015/2016' or '2018' to (start, end) year."""
     part = F.split(col(label), "/")

@@ -48,6 +48,7 @@ def player_match_mart(
         .join(matches, "match_id")
         .join(counts, ["match_id", "player_id"], "left")
         .select(
+            "id",
             "provider",
             "match_id",
             "player_id",
@@ -58,7 +59,9 @@ def player_match_mart(
             "competition_id",
             "observed_on",
             "starter",
+            "position",
             "minutes",
+            "minutes_method",
             F.when(own, zero("n_shots")).alias("shots"),
             F.when(own, zero("n_passes")).alias("passes"),
             F.when(own, zero("n_completed")).alias("completed_passes"),

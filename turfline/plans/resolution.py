@@ -61,16 +61,17 @@ def name_parts(v):
     )
 
 
-NORM = "trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+NORM = "trim(regexp_replace(regexp_replace(replace(lower(strip_accents({c})), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+NAMED = "CASE turn % 3 WHEN 0 THEN 'Άρης Θεσσαλονίκης' WHEN 1 THEN 'Андрей Йорданов' ELSE 'Ñandú' END || ' ' || text"
 
 
 @query(
     "normalised_text",
     "B16",
-    f"SELECT conv_id, turn, {NORM.format(c='replace(text, chr(223), chr(115) || chr(115))')} AS plain FROM conversations",
+    f"SELECT conv_id, turn, {NORM.format(c=f'replace({NAMED}, chr(223), chr(115) || chr(115))')} AS plain FROM conversations",
 )
 def normalised_text(v):
-    return v.table("conversations").select("conv_id", "turn", X.normalise_name("text").alias("plain"))
+    return v.table("conversations").select("conv_id", "turn", X.normalise_name(F.expr(NAMED)).alias("plain"))
 
 
 def club_lines(v):
