@@ -226,7 +226,8 @@ def near_duplicates(
     stars = settle(stars, "stars")
 
     nodes = stars.select(F.col("node").alias("doc_id")).union(stars.select(F.col("centre").alias("doc_id"))).distinct()
-    whole = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(nodes, "doc_id", "left_semi")
+    # A merge join at any size: the nodes grow with the documents and are never broadcast.
+    whole = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(nodes.hint("merge"), "doc_id", "left_semi")
     sets = settle(whole.mapInArrow(_sets(width), "node long, shingles binary"), "sets")
     best = stars.groupBy("node").agg(F.max_by("centre", F.struct("pull", -F.col("centre"))).alias("centre"))
     best = best.select(F.col("node").alias("u"), F.col("centre").alias("v"))
