@@ -109,6 +109,8 @@ def test_metrics_examples(spark):
 def test_harmonic_expansion_is_continuous(spark):
     a = spark.range(1).select(E.harmonic(F.lit(4096)).alias("a"), E.harmonic(F.lit(4097)).alias("b")).first()
     assert a.b - a.a == pytest.approx(1 / 4097, rel=1e-9)
+    got = spark.range(0, 200).select("id", E.harmonic(F.col("id")).alias("h")).collect()
+    assert all(r.h == pytest.approx(sum(1 / i for i in range(1, r.id + 1)), abs=1e-13) for r in got)
 
 
 def test_threshold_choice(spark):
@@ -116,6 +118,10 @@ def test_threshold_choice(spark):
     data = [(t, p, 10, m) for t, m in grid for p in "pq"] + [(300, "p", 10, 0.9)]
     rows = spark.createDataFrame(data, "threshold int, provider string, queries int, mrr double")
     assert E.select_threshold(rows).first().threshold == 450
+    scoped = rows.withColumn("scope", F.when(F.col("threshold") == 450, 1).otherwise(0))
+    assert E.select_threshold(scoped, development=[0]).first().threshold == 600
+    with pytest.raises(Exception, match="development evidence"):
+        E.select_threshold(rows.where("provider = 'p'")).first()
 
 
 def test_two_group_distance(spark):

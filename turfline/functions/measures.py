@@ -82,14 +82,14 @@ def half_up(value: Column, decimals: int) -> Column:
 
 
 def md5_int(*parts: str | Column) -> Column:
-    """Deterministic 32-bit draw from key parts (bootstraps, perturbations)."""
+    """Deterministic 60-bit draw from key parts (bootstraps, perturbations)."""
     text = F.concat_ws(":", *[col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform_draw(low: float, high: float, *parts: str | Column) -> Column:
     """Hash-to-uniform draw in [low, high)."""
-    return F.lit(low) + F.lit(high - low) * md5_int(*parts) / F.lit(float(2**32))
+    return F.lit(low) + F.lit(high - low) * md5_int(*parts) / F.lit(float(2**60))
 
 
 def digest_fold(key: Column, folds: int = 5, prefix: str = "") -> Column:

@@ -16,15 +16,11 @@ EULER = 0.5772156649015329
 
 
 def harmonic(n: Column) -> Column:
-    """H(n); summed for n <= 4096, by its expansion (exact to double) beyond."""
-    x = n.cast("double")
-    summed = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(4096)).cast("int")), lambda i: 1.0 / i),
-        F.lit(0.0),
-        lambda a, v: a + v,
-    )
-    series = F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
-    return F.when(n <= 0, F.lit(0.0)).when(n <= 4096, summed).otherwise(series)
+    """H(n) by one formula: the expansion at n + 16, less the sixteen terms in between."""
+    x = n.cast("double") + 16
+    square = x * x
+    series = F.log(x) + EULER + 1 / (2 * x) - (1 / 12 - (1 / 120 - (1 / 252 - 1 / (240 * square)) / square) / square) / square
+    return series - sum((1 / (n.cast("double") + i) for i in range(1, 17)), F.lit(0.0))
 
 
 def retrieval_metrics(ranks: DataFrame, keys: Sequence[str] = (), rank: str = "rank") -> DataFrame:
@@ -207,21 +203,26 @@ def group_balance(neighbours: DataFrame, sides: DataFrame, ident: str, pool: Seq
     )
 
 
-def select_threshold(results: DataFrame, share: float = 0.9) -> DataFrame:
+def select_threshold(results: DataFrame, share: float = 0.9, development: Sequence | None = None) -> DataFrame:
     """Smallest threshold reaching ``share`` of the best macro score.
 
-    results: threshold, provider, queries, mrr -- one row per scope."""
+    results: threshold, provider, queries, mrr -- one row per scope, with ``scope`` where
+    ``development`` names the scopes that count. Both providers must have evidence; if no
+    threshold has, the row that is asked for raises an error."""
+    if development is not None:
+        results = results.where(F.col("scope").isin(*development))
     provider = results.groupBy("threshold", "provider").agg(
         (F.sum(F.col("mrr") * F.col("queries")) / F.sum("queries")).alias("score")
     )
     macro = provider.groupBy("threshold").agg(
         F.avg("score").alias("score"), F.count(F.lit(1)).alias("sides")
     )
-    macro = macro.where(F.col("sides") == 2)  # both providers must have evidence
+    macro = macro.where(F.col("sides") == 2)
     best = macro.agg(F.max("score").alias("best"))  # one row
     reached = F.col("score") + 1e-12 >= share * F.col("best")
-    passed = macro.join(F.broadcast(best)).where(reached)
-    return passed.agg(F.min("threshold").alias("threshold"))
+    passed = macro.join(F.broadcast(best)).where(reached).agg(F.min("threshold").alias("threshold"))
+    short = F.raise_error(F.lit("no threshold has development evidence of both providers")).cast("int")
+    return passed.select(F.coalesce("threshold", short).alias("threshold"))
 
 
 def role_gate(

@@ -483,12 +483,13 @@ def metric_rollup(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def select_method(summary: DataFrame, floor: float = 0.65) -> DataFrame:
-    """Best method among those above random and stable enough; ties by name."""
-    passed = summary.where((F.col("mrr") > F.col("random_mrr")) & (F.col("jaccard") >= floor))
-    return passed.agg(
-        F.min_by("method", F.struct((-F.col("mrr")).alias("m"), "method")).alias("method")
-    )
+def select_method(summary: DataFrame, order: Sequence[str], floor: float = 0.65) -> DataFrame:
+    """The first method of ``order`` that retrieves above random and is stable enough;
+    the row that is asked for raises an error if none is."""
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method"))
+    passed = summary.where((place > 0) & (F.col("mrr") > F.col("random_mrr")) & (F.col("jaccard") >= floor))
+    none = F.raise_error(F.lit("no method passes the development gate")).cast("string")
+    return passed.agg(F.min_by("method", place).alias("first")).select(F.coalesce("first", none).alias("method"))
 
 
 def native_ranking(

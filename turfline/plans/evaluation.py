@@ -117,7 +117,7 @@ def tie_aware_retrieval(v):
 
 
 DRAWS = 20
-PICK = "CAST('0x' || substr(md5('{seed}:' || g.draw || ':' || CAST({key} AS VARCHAR) || ':' || CAST(r.place AS VARCHAR)), 1, 8) AS BIGINT) % r.size + 1"
+PICK = "CAST('0x' || substr(md5('{seed}:' || g.draw || ':' || CAST({key} AS VARCHAR) || ':' || CAST(r.place AS VARCHAR)), 1, 15) AS BIGINT) % r.size + 1"
 BOOT_SQL = f"""nr AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY observed_on, match_id) AS place,
   count(*) OVER (PARTITION BY player_id) AS size FROM pm WHERE reliable AND player_id IN (SELECT player_id FROM co)),
 pk AS (SELECT g.draw, r.player_id, {PICK.format(seed="boot", key="r.player_id")} AS place FROM nr r, range(1, {DRAWS + 1}) g(draw)),
@@ -290,7 +290,7 @@ def spearman_stability(v):
 
 CI_SQL = """nr AS (SELECT c_mktsegment AS g, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS place,
   count(*) OVER (PARTITION BY c_mktsegment) AS size FROM customer),
-pk AS (SELECT d.draw, r.g, CAST('0x' || substr(md5('ci:' || d.draw || ':' || r.g || ':' || CAST(r.place AS VARCHAR)), 1, 8) AS BIGINT) % r.size + 1 AS place FROM nr r, range(1, 51) d(draw)),
+pk AS (SELECT d.draw, r.g, CAST('0x' || substr(md5('ci:' || d.draw || ':' || r.g || ':' || CAST(r.place AS VARCHAR)), 1, 15) AS BIGINT) % r.size + 1 AS place FROM nr r, range(1, 51) d(draw)),
 mm AS (SELECT pk.g, draw, avg(c_acctbal) AS m FROM pk JOIN nr ON nr.g = pk.g AND nr.place = pk.place GROUP BY ALL)"""
 
 
@@ -304,26 +304,57 @@ def bootstrap_interval(v):
     return rounded(E.bootstrap_mean(rows, ["g"], "c_acctbal", "c_custkey", 50, "ci"), "low", "high", places=4)
 
 
+THRESHOLDS = (300, 450, 600)
+CELL = ["threshold", "scope", "primary_role"]
+CELL_UNPIVOT = " UNION ALL ".join(
+    f"SELECT threshold, scope, provider, player_id, win, role_first AS primary_role, '{c}' AS feature, {c} AS value FROM tp" for c in RATES
+)
+
+
 @query(
     "scoped_retrieval",
-    "I11 I12",
-    f"""WITH {PAIR_SQL}, g AS (SELECT primary_role, count(*) AS n FROM rk GROUP BY primary_role HAVING count(*) >= 20),
-m AS (SELECT t.threshold, CASE WHEN primary_role IN ('CB','CM') THEN 'p' ELSE 'q' END AS provider, primary_role, count(*) AS queries, avg((1e0 / rank) * (1 - 100e0 / t.threshold)) AS mrr
-  FROM rk JOIN g USING (primary_role), (VALUES (450), (600), (900)) t(threshold) GROUP BY ALL),
-s AS (SELECT threshold, provider, sum(mrr * queries) / sum(queries) AS score FROM m GROUP BY ALL), a AS (SELECT threshold, avg(score) AS score FROM s GROUP BY threshold)
-SELECT min(threshold) AS threshold FROM a WHERE score >= 0.9e0 * (SELECT max(score) FROM a)""",
+    "I11 I12 H10 H11",
+    f"""WITH {HALVES_SQL}, ok AS (SELECT h.*, e.role_first FROM halves h JOIN excl e USING (player_id) WHERE exclusion IS NULL),
+lo AS (SELECT player_id, min(minutes) AS low, sum(minutes) AS whole FROM ok GROUP BY player_id),
+tp AS (SELECT t.threshold, player_id % 3 AS scope, CASE WHEN player_id % 3 = 0 THEN 'p' ELSE 'q' END AS provider, ok.* FROM ok JOIN lo USING (player_id)
+  JOIN (VALUES (300), (450), (600)) t(threshold) ON low >= t.threshold / 2e0 AND whole >= t.threshold),
+hl AS ({CELL_UNPIVOT}),
+hs AS (SELECT threshold, provider, primary_role, feature, avg(value) AS m, stddev_pop(value) AS sd FROM hl WHERE win = 'first' GROUP BY ALL),
+hz AS (SELECT hl.*, (value - m) / sd AS z FROM hl JOIN hs USING (threshold, provider, primary_role, feature)),
+hd AS (SELECT a.threshold, a.scope, a.provider, a.primary_role, a.player_id, b.player_id AS other, sqrt(sum({W} * pow(a.z - b.z, 2))) AS d FROM hz a JOIN hz b
+  ON a.win = 'first' AND b.win = 'second' AND a.threshold = b.threshold AND a.scope = b.scope AND a.primary_role = b.primary_role AND a.feature = b.feature GROUP BY ALL),
+rk AS (SELECT x.threshold, x.scope, x.provider, x.primary_role, x.player_id, 1 + count(*) FILTER (WHERE y.d < x.d OR (y.d = x.d AND y.other < x.player_id)) AS rank
+  FROM hd x JOIN hd y ON x.player_id = x.other AND y.player_id = x.player_id AND y.threshold = x.threshold GROUP BY ALL),
+m AS (SELECT threshold, scope, provider, primary_role, count(*) AS queries, avg(1e0 / rank) AS mrr FROM rk GROUP BY ALL HAVING count(*) >= 20),
+s AS (SELECT threshold, provider, sum(mrr * queries) / sum(queries) AS score FROM m WHERE scope IN (0, 1) GROUP BY ALL),
+a AS (SELECT threshold, avg(score) AS score FROM s GROUP BY threshold HAVING count(*) = 2)
+SELECT min(threshold) AS threshold FROM a WHERE score + 1e-12 >= 0.9e0 * (SELECT max(score) FROM a)""",
     "pm",
 )
 def scoped_retrieval(v):
-    metrics = E.retrieval_metrics(ranks(v), GROUP).where(F.col("queries") >= 20)
-    grid = metrics.withColumn("threshold", F.explode(F.array(*map(F.lit, (450, 600, 900)))))
-    scored = grid.select(
-        "threshold",
-        F.when(F.col("primary_role").isin("CB", "CM"), "p").otherwise("q").alias("provider"),
-        "queries",
-        (F.col("mrr") * (1 - F.lit(100.0) / F.col("threshold"))).alias("mrr"),
+    """Cohorts rebuilt for every threshold; scalers per provider and role fitted on the first
+    half; only counterparts of one scope and role compete; scopes 0 and 1 decide."""
+    rows = settle(halves(v), "halves")
+    pairs = window_pairs(v, rows).where(F.col("exclusion").isNull()).select("player_id", F.col("role_first").alias("primary_role"))
+    used = rows.drop("primary_role").join(pairs, "player_id")
+    low = used.groupBy("player_id").agg(F.min("minutes").alias("_low"), F.sum("minutes").alias("_whole"))
+    cells = used.join(low, "player_id").withColumns(
+        {
+            "threshold": F.explode(F.array(*map(F.lit, THRESHOLDS))),
+            "scope": F.col("player_id") % 3,
+            "provider": F.when(F.col("player_id") % 3 == 0, "p").otherwise("q"),
+        }
     )
-    return E.select_threshold(scored)
+    enough = (F.col("_low") >= F.col("threshold") / 2) & (F.col("_whole") >= F.col("threshold"))
+    cells = settle(cells.where(enough), "cells")
+    first, second = (cells.where(F.col("window") == w) for w in ("first", "second"))
+    fitted = ["threshold", "provider", "primary_role"]
+    scaler = settle(S.fit_scaling(first, fitted, FAM, "standard", balanced=False), "scaler")
+    keep = lambda d, n: settle(S.standardise(d, scaler, fitted, RATES).select(*CELL, "player_id", "vec"), n)
+    found = S.counterpart_ranks(keep(first, "first"), keep(second, "second"), CELL, "player_id")
+    metrics = E.retrieval_metrics(found, CELL).where(F.col("queries") >= 20)
+    sided = metrics.withColumn("provider", F.when(F.col("scope") == 0, "p").otherwise("q"))
+    return E.select_threshold(sided, development=(0, 1))
 
 
 @query("provider_classifier", "I13", None)

@@ -286,7 +286,7 @@ def scenario_grid(v):
     "K10",
     f"""WITH {ENV_SQL}, nr AS (SELECT player_id * 1000 + CAST(stint AS BIGINT) AS environment_id, passes, minutes,
   row_number() OVER (PARTITION BY player_id, stint ORDER BY observed_on, match_id) AS place, count(*) OVER (PARTITION BY player_id, stint) AS size FROM st WHERE reliable),
-pk AS (SELECT g.draw, environment_id, CAST('0x' || substr(md5('src:' || g.draw || ':' || environment_id || ':' || place), 1, 8) AS BIGINT) % size + 1 AS place FROM nr, range(1, 6) g(draw)),
+pk AS (SELECT g.draw, environment_id, CAST('0x' || substr(md5('src:' || g.draw || ':' || environment_id || ':' || place), 1, 15) AS BIGINT) % size + 1 AS place FROM nr, range(1, 6) g(draw)),
 b AS (SELECT environment_id, draw, 90 * sum(passes) / sum(minutes) AS rate FROM pk JOIN nr USING (environment_id, place) GROUP BY ALL)
 SELECT environment_id, round(avg(rate), 6) AS mean, round(max(rate), 6) AS high FROM b GROUP BY environment_id""",
     "pm",

@@ -284,7 +284,7 @@ def replacement_requirements(v):
     return rounded(J.replacement_requirements(candidate_index(v), ["player_id"]), "value")
 
 
-UNI = "0.8e0 + 0.4e0 * CAST('0x' || substr(md5('w:' || g.draw || ':' || feature), 1, 8) AS BIGINT) / 4294967296e0"
+UNI = "0.8e0 + 0.4e0 * CAST('0x' || substr(md5('w:' || g.draw || ':' || feature), 1, 15) AS BIGINT) / 1152921504606846976e0"
 STAB_SQL = f"""{RANK_SQL},
 df AS (SELECT scenario_id, player_id, g.draw, sqrt(sum(weight * ({UNI}) * loss * loss) / sum(weight * ({UNI}))) AS distance FROM el, range(1, 11) g(draw) GROUP BY ALL),
 dr AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, draw ORDER BY floor(distance * 1e6 + 0.5) / 1e6, player_id) AS drank FROM df),
@@ -456,7 +456,7 @@ def reconstruction(v):
     "J21",
     f"""WITH {PAIR_SQL}, m AS (SELECT primary_role AS method, {METRIC_SQL}, avg(list_sum(list_transform(range(1, candidates + 1), lambda i: 1e0 / i)) / candidates) AS random_mrr,
   CASE WHEN primary_role = 'CB' THEN 0.5 ELSE 0.8 END AS jaccard FROM rk GROUP BY primary_role)
-SELECT (SELECT method FROM m WHERE mrr > random_mrr AND jaccard >= 0.65 ORDER BY mrr DESC, method LIMIT 1) AS method""",
+SELECT (SELECT method FROM m WHERE mrr > random_mrr AND jaccard >= 0.65 ORDER BY list_position(['CB', 'W', 'ST', 'CM', 'FB/WB'], method) LIMIT 1) AS method""",
     "pm",
 )
 def method_selection(v):
@@ -468,7 +468,7 @@ def method_selection(v):
         F.col("primary_role").alias("method"), F.round("mrr", 6).alias("mrr"), "random_mrr",
         F.when(F.col("primary_role") == "CB", 0.5).otherwise(0.8).alias("jaccard"),
     )
-    return J.select_method(table)
+    return J.select_method(table, ["CB", "W", "ST", "CM", "FB/WB"])
 
 
 @query(
