@@ -35,7 +35,7 @@ def test_midrank_example(spark):
 
 def test_row_index_splits_ties(values):
     data, df = values
-    got = {(r.g, r.id): r.n for r in O.row_index(df, ["g"], "v", "id", "n", span=16).collect()}
+    got = {(r.g, r.id): r.n for r in O.row_index(df, ["g"], "v", "id", "n", parts=16).collect()}
     for g in range(3):
         order = sorted((v, i) for h, i, v in data if h == g)
         assert [got[g, i] for _, i in order] == list(range(1, len(order) + 1))

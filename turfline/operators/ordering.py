@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turfline.session import settle
+
 BUCKETS_PER_OCTAVE = 256
 
 
@@ -65,25 +67,23 @@ def _prefix(rungs: DataFrame, keys: Sequence[str], order: Sequence[str], sums: S
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], score: str, ident: str, out: str, span: int = 1 << 17
+    df: DataFrame, keys: Sequence[str], score: str, ident: str, out: str, parts: int | None = None
 ) -> DataFrame:
-    """Row number inside ``keys`` by (score, ident); ``ident`` is a unique integer.
+    """Row number inside ``keys`` by (score, ident); ``ident`` is unique, of any type.
 
-    Ties on the score are cut into spans of ``ident``, so even a group with one
-    score only is numbered span by span.
+    The rows are dealt out by ranges of (keys, score, ident), so neither a large group nor a
+    score that many rows share meets in one part; counts per part give the offsets. The
+    parts are written once, as they are read twice.
     """
-    cut = df.withColumn("_span", F.floor(F.col(ident) / span).cast("bigint"))
-    rungs = cut.groupBy(*keys, score, "_span").agg(F.count(F.lit(1)).alias("n"))
-    skip = _prefix(rungs, keys, [score, "_span"], ["n"]).select(
-        *keys, score, "_span", F.col("n_below").alias("_skip")
-    )
-    local = Window.partitionBy(*keys, score, "_span").orderBy(ident)
-    return (
-        cut.withColumn("_row", F.row_number().over(local))
-        .join(skip, [*keys, score, "_span"])
-        .withColumn(out, (F.col("_row") + F.col("_skip")).cast("bigint"))
-        .drop("_row", "_skip", "_span")
-    )
+    order = [*keys, score, ident]
+    ranged = df.repartitionByRange(*([parts] if parts else []), *order)
+    cut = settle(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skip = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    local = Window.partitionBy(*keys, "_part").orderBy(score, ident)
+    numbered = cut.withColumn("_row", F.row_number().over(local)).join(skip, [*keys, "_part"])
+    return numbered.withColumn(out, (F.col("_row") + F.col("_skip")).cast("bigint")).drop("_row", "_skip", "_part")
 
 
 def value_ladder(
