@@ -228,9 +228,10 @@ def pareto_frontier(
 
 
 def rank_scenarios(
-    scenarios: DataFrame, requirements: DataFrame, candidates: DataFrame, method: str = "weighted_rms"
+    scenarios: DataFrame, requirements: DataFrame, candidates: DataFrame, method: str = "weighted_rms",
+    frontier: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rankings, exclusions, status per scenario)."""
+    """(rankings, exclusions, status per scenario); ``frontier`` adds J6 to the rankings."""
     used = family_rms_weights(requirements).withColumn("family_weight", F.coalesce("family_weight", F.lit(1.0))) if method == "family_rms" else requirements
     needs = packed_requirements(used)
     judged = settle(judge(scenarios, needs, candidates), "judged")
@@ -238,7 +239,9 @@ def rank_scenarios(
     ordered = row_index(
         scored.withColumn("_order", order_value(method)), POOL, "_order", "player_id", "rank"
     )
-    frontier = pareto_frontier(scored, POOL, "player_id").withColumn("_front", F.lit(True))
+    if frontier:
+        front = pareto_frontier(scored, POOL, "player_id").withColumn("_front", F.lit(True))
+        ordered = ordered.join(front, [*POOL, "player_id"], "left")
     squares = lambda p: p["weight"] * p["loss"] * p["loss"]
     best = F.slice(F.array_sort(F.transform("parts", lambda p: F.struct(p["loss"], p["feature_id"]))), 1, 3)
     worst = F.slice(
@@ -259,7 +262,7 @@ def rank_scenarios(
             F.when(F.col("squared") > 0, squares(p) / F.col("squared")).otherwise(0.0).alias("share"),
         ),
     )
-    rankings = ordered.join(frontier, [*POOL, "player_id"], "left").select(
+    rankings = ordered.select(
         *POOL,
         "player_id",
         "rank",
@@ -267,7 +270,7 @@ def rank_scenarios(
         share.alias("contributions"),
         F.transform(best, lambda s: s["feature_id"]).alias("strong_matches"),
         F.transform(worst, lambda s: s["feature_id"]).alias("main_mismatches"),
-        F.coalesce("_front", F.lit(False)).alias("frontier"),
+        *([F.coalesce("_front", F.lit(False)).alias("frontier")] if frontier else []),
     )
     exclusions = judged.where(F.size("reasons") > 0).select(*POOL, "player_id", "reasons")
     counts = judged.groupBy(*POOL).agg(F.count_if(F.size("reasons") == 0).alias("eligible_count"))

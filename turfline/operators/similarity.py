@@ -253,32 +253,27 @@ def _meet(queries: DataFrame, blocked: DataFrame, keys: Sequence[str], kernel, s
 
 
 def nearest(
-    df: DataFrame, keys: Sequence[str], ident: str, k: int, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], ident: str, k: int, block: int = BLOCK, probes: DataFrame | None = None
 ) -> DataFrame:
     """The ``k`` nearest rows of the same group, ties by id, no self.
 
-    One block per group when the largest group fits (checked); otherwise first
-    the own block for an upper bound, then every block within that bound.
+    First the own block for an upper bound, then every block within that bound.
+    ``probes`` names the ids that ask; without it every row does.
     """
     keys = list(keys)
-    # Read three times below (size check, both sides), so written once.
-    rows = settle(
-        df.select(*keys, F.col(ident).alias("id"), "vec").where(
-            ~F.exists("vec", lambda v: v.isNull())
-        ),
-        "vectors",
-    )
+    rows = df.select(*keys, F.col(ident).alias("id"), "vec").where(~F.exists("vec", lambda v: v.isNull()))
     id_type = rows.schema["id"].dataType
     extra = [("neighbour", id_type), ("distance", T.DoubleType())]
     schema = _schema(rows, keys, id_type, extra)
     kernel = _nearest_kernel(keys, k, True, schema.names)
     blocked = _with_blocks(rows, keys, block)
-    home = blocked.withColumn("target", F.col("block"))
+    asking = blocked if probes is None else blocked.join(probes.select(F.col(ident).alias("id")).distinct(), "id", "left_semi")
+    home = asking.withColumn("target", F.col("block"))
     first = settle(_meet(home, blocked, keys, kernel, schema), "first")
     bound = first.groupBy(*keys, "id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("radius")
     )
-    queries = blocked.join(bound, [*keys, "id"], "left").withColumn(
+    queries = asking.join(bound, [*keys, "id"], "left").withColumn(
         "radius", F.coalesce("radius", F.lit(float("inf")))
     )
     rest = _meet(_visits(queries, blocked, keys, False), blocked, keys, kernel, schema)

@@ -488,10 +488,9 @@ def prediction_lookup(v):
     "co",
 )
 def similar_lookup(v):
-    near = S.nearest(scaled(v)[0], ["primary_role"], "player_id", 10)
     first = v.co.agg(F.min("player_id").alias("player_id"))
-    picked = near.join(F.broadcast(first), "player_id", "left_semi")
-    return picked.where(F.col("rank") <= 5).select(
+    near = S.nearest(scaled(v)[0], ["primary_role"], "player_id", 10, probes=first)
+    return near.where(F.col("rank") <= 5).select(
         "player_id", "neighbour", F.col("rank").cast("bigint").alias("rank")
     )
 
