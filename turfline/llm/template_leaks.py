@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,16 +50,11 @@ UNITS = set(
 NUMERAL = re.compile(r"(\d+(?:[.,:/]\d+)*)-?(\w*)")
 OUTER = re.compile(r"^\W+|\W+$")
 ENDS = (".", "!", "?", ":", "|")
+MARKS_AROUND = ".,;:!?*#&|\"'()"
 #: Texts whose words are canonicalised at once.
 TOGETHER = 1 << 20
 
 
-def _hash(word: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
 class Words(dict):
     """Chunk -> number of its entry (hash, kind, whether a sentence ends, plain form).
 
@@ -74,7 +70,11 @@ class Words(dict):
         self.arrays = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
 
     def __missing__(self, chunk: str) -> int:
-        core = OUTER.sub("", chunk)
+        core, ends = chunk, False
+        if not chunk.isalnum():
+            core = chunk.strip(MARKS_AROUND)
+            core = core if core.isalnum() else OUTER.sub("", core)
+            ends = chunk.rstrip("*#$%&\"')]}").endswith(ENDS)
         kind, plain = 0, core.casefold()
         if not core:
             kind = self.EMPTY
@@ -89,7 +89,7 @@ class Words(dict):
         elif core[0].isupper() and core[1:].islower():
             kind = NAME
         self[chunk] = number = len(self.rows)
-        self.rows.append((_hash(plain), kind, chunk.rstrip("*#$%&\"')]}").endswith(ENDS), plain))
+        self.rows.append((xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")), kind, ends, plain))
         return number
 
     def facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
