@@ -86,3 +86,44 @@ def test_role_change_is_symmetric(one):
         G.role_change(F.lit("W"), F.lit("FB/WB")), G.role_change(F.lit("FB/WB"), F.lit("W")),
         G.role_change(F.lit("GK"), F.lit("ST")), G.role_change(F.lit(None).cast("string"), F.lit("ST")),
     ) == ("adjacent", "adjacent", "major", "unknown")
+
+
+def test_poisson_gradient_vanishes(spark):
+    """At the answer the penalised likelihood has no slope (penalty on standardised weights)."""
+    rng = np.random.default_rng(6)
+    x, minutes = rng.normal(size=(200, 2)), rng.uniform(100, 900, 200)
+    counts = rng.poisson(minutes / 90 * np.exp(0.3 * x[:, 0] - 0.2 * x[:, 1]))
+    rows = spark.createDataFrame(
+        [(float(a), float(b), float(m), float(c)) for (a, b), m, c in zip(x, minutes, counts)], "a double, b double, m double, c double"
+    )
+    fitted = K.fit_poisson(rows, ["a", "b"], "c", "m")(rows).collect()
+    expected, y = np.array([r.expected for r in fitted]), np.array([r.c for r in fitted])
+    assert abs((y - expected).sum()) < 1e-4 * y.sum()
+    design = np.array([[r.a, r.b] for r in fitted])
+    rate = np.log(expected / np.array([r.m for r in fitted]))
+    weights = np.linalg.lstsq(np.column_stack([design, np.ones(200)]), rate, rcond=None)[0][:2]
+    slope = design.T @ (y - expected) / expected.sum()
+    assert np.allclose(slope, 0.01 * weights * design.var(0, ddof=1), atol=3e-4) and np.allclose(weights, [0.3, -0.2], atol=0.1)
+
+
+def test_method_gates(spark):
+    def chosen(mae, coverage, width):
+        table = [("ridge", mae, coverage, width), ("role_mean", 1.0, 0.8, 2.0), ("unchanged_source", 1.2, 0.8, 1.0)]
+        rows = spark.createDataFrame(table, "method string, mae double, coverage80 double, width80 double")
+        row = K.choose_method(rows, "ridge").first()
+        return row.method, sorted(row.reasons)
+
+    assert chosen(1.09, 0.8, 2.9) == ("ridge", [])
+    assert chosen(1.11, 0.8, 2.0) == ("role_mean", ["validation_point_error"])
+    assert chosen(1.0, 0.6, 3.1) == ("role_mean", ["validation_coverage", "validation_width"])
+
+
+def test_group_detectability(spark):
+    from turfline.operators import evaluation as E
+
+    rng = np.random.default_rng(3)
+    data = [(i, "r", i % 2 == 0, float(rng.normal(2.0 * (i % 2))), float(rng.normal())) for i in range(400)]
+    rows = spark.createDataFrame(data, "id long, role string, side boolean, x double, y double")
+    told = E.detectability(rows, "side", ["role"], "id", ["x", "y"], 50).first()
+    blind = E.detectability(rows, "side", ["role"], "id", ["y"], 50).first()
+    assert told.auc > 0.85 and told.balanced_accuracy > 0.75 and abs(blind.auc - 0.5) < 0.2

@@ -9,7 +9,7 @@ from turfline.operators import profiles as P
 from turfline.operators import similarity as S
 from turfline.plans.profiles import RATES, rounded
 from turfline.plans.registry import query
-from turfline.plans.similarity import FAM, GROUP, LONG
+from turfline.plans.similarity import COS_SQL, FAM, GROUP, LONG
 from turfline.plans.timesplit import HALVES_SQL, halves, window_pairs
 from turfline.plans.views import PM_COUNTS
 from turfline.session import settle
@@ -205,7 +205,38 @@ METHODS = {
 }
 
 
-@query("method_sweep", "I8 I18", None)
+# Scores of every scaling, with each feature's share of its family.
+SCORES_SQL = f"""{COS_SQL},
+cl AS (SELECT l.primary_role, l.player_id, l.feature, greatest(least(value, upper), lower) AS cut FROM l JOIN (SELECT primary_role, feature,
+  quantile_cont(value, 0.01) AS lower, quantile_cont(value, 0.99) AS upper FROM l GROUP BY ALL) b USING (primary_role, feature)),
+ws AS (SELECT primary_role, feature, quantile_cont(cut, 0.5) AS med, quantile_cont(cut, 0.75) - quantile_cont(cut, 0.25) AS s FROM cl GROUP BY ALL),
+sg AS (SELECT sc.*, 1e0 / count(*) OVER (PARTITION BY primary_role, family) AS part FROM sc),
+zs AS (SELECT l.primary_role, l.player_id, l.feature, l.family, part, (value - sg.med) / sg.s AS robust, (value - mean) / sd AS standard, (cut - ws.med) / ws.s AS winsor
+  FROM l JOIN sg USING (primary_role, feature) JOIN cl USING (primary_role, player_id, feature) JOIN ws USING (primary_role, feature))"""
+TOP_SQL = """ed AS (SELECT a.method, a.primary_role, a.player_id, b.player_id AS other, sqrt(sum(a.w * pow(a.z - b.z, 2))) AS d
+  FROM me a JOIN me b ON a.method = b.method AND a.primary_role = b.primary_role AND a.feature = b.feature AND a.player_id <> b.player_id GROUP BY ALL),
+et AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, player_id ORDER BY d, other) AS place FROM ed) q WHERE place <= 10)"""
+COMMON_SQL = """oc AS (SELECT a.method, a.primary_role, a.player_id, count(b.other) AS common, count(*) AS own,
+  min((SELECT count(*) FROM et e WHERE e.method = 'standard' AND e.player_id = a.player_id)) AS base
+  FROM every a LEFT JOIN et b ON b.method = 'standard' AND b.player_id = a.player_id AND b.other = a.other GROUP BY ALL)"""
+
+
+@query(
+    "method_sweep",
+    "I8 I18",
+    f"""WITH {SCORES_SQL},
+me AS (SELECT 'robust' AS method, primary_role, player_id, feature, robust AS z, part / 5 AS w FROM zs
+  UNION ALL SELECT 'standard', primary_role, player_id, feature, standard, part / 5 FROM zs
+  UNION ALL SELECT 'winsor', primary_role, player_id, feature, winsor, part / 5 FROM zs
+  UNION ALL SELECT 'unbalanced', primary_role, player_id, feature, robust, 1e0 / 8 FROM zs
+  UNION ALL SELECT 'without_' || f, primary_role, player_id, feature, standard, part / 4 FROM zs, (VALUES ('shooting'), ('creation'), ('passing'), ('carrying'), ('defending')) x(f) WHERE family <> f),
+{TOP_SQL},
+every AS (SELECT method, primary_role, player_id, other FROM et UNION ALL SELECT 'cosine', primary_role, player_id, neighbour FROM (
+  SELECT *, row_number() OVER (PARTITION BY primary_role, player_id ORDER BY distance, neighbour) AS place FROM d) q WHERE place <= 10),
+{COMMON_SQL}
+SELECT method, primary_role, round(avg(CAST(common AS DOUBLE) / (own + base - common)), 6) AS overlap FROM oc GROUP BY ALL""",
+    "co",
+)
 def method_sweep(v):
     """Overlap of every method's top ten with the default method's, per role.
 
@@ -239,7 +270,16 @@ def method_sweep(v):
 @query(
     "family_perturbation",
     "I18",
-    None,
+    f"""WITH {SCORES_SQL},
+me AS (SELECT 'standard' AS method, primary_role, player_id, feature, standard AS z, part / 5 AS w FROM zs
+  UNION ALL SELECT f || ' ' || x, primary_role, player_id, feature, standard, CASE WHEN family = f THEN x ELSE 1 END * part / 5
+  FROM zs, (VALUES ('shooting'), ('creation'), ('passing'), ('carrying'), ('defending')) g(f), (VALUES (0.5e0), (2e0)) h(x)),
+{TOP_SQL},
+every AS (SELECT method, primary_role, player_id, other FROM et WHERE method <> 'standard'),
+{COMMON_SQL}
+SELECT string_split(method, ' ')[1] AS family, CAST(string_split(method, ' ')[2] AS DOUBLE) AS factor, primary_role,
+  round(avg(CAST(common AS DOUBLE) / base), 8) AS top10_overlap FROM oc GROUP BY ALL""",
+    "co",
 )
 def family_perturbation(v):
     """Top-ten overlap when one family's weight is halved or doubled."""
@@ -266,7 +306,7 @@ def family_perturbation(v):
     shared = F.size(F.array_intersect("base", "ids")) / F.size("base")
     return rounded(
         joined.groupBy("family", "factor", "primary_role").agg(F.avg(shared).alias("top10_overlap")),
-        "top10_overlap",
+        "top10_overlap", places=8,
     )
 
 

@@ -11,7 +11,7 @@ from turfline.operators.ordering import value_ladder, with_midrank, with_referen
 from turfline.plans.evaluation import BOOT_SQL, DRAWS, METRIC_SQL, PAIR_SQL, boot, paired_halves, ranks
 from turfline.plans.profiles import LONG_CO, RATES, rounded
 from turfline.plans.registry import query
-from turfline.plans.similarity import FAM
+from turfline.plans.similarity import FAM, FAMILY_CASE
 from turfline.session import settle
 
 ROLES = ["CB", "FB/WB", "CM", "W", "ST"]
@@ -434,7 +434,21 @@ def roster_holdout(v):
     return rounded(out.drop("value"), "mates_median")
 
 
-@query("reconstruction", "J18", None)
+@query(
+    "reconstruction",
+    "J18",
+    f"""WITH {PAIR_SQL}, rec_cf AS (SELECT player_id, primary_role, feature, value, family FROM (SELECT *, {FAMILY_CASE} AS family FROM ({LONG_CO}) v) q),
+rec_sm AS (SELECT primary_role, feature, family, avg(value) AS m, stddev_pop(value) AS sd FROM rec_cf GROUP BY ALL),
+rec_sw AS (SELECT *, 1e0 / (5 * count(*) OVER (PARTITION BY primary_role, family)) AS w FROM rec_sm),
+rec_pc AS (SELECT player_id, primary_role, feature, w, (value - m) / sd AS z, 100e0 * (rank() OVER (PARTITION BY primary_role, feature ORDER BY value) - 1
+  + count(*) OVER (PARTITION BY primary_role, feature, value) / 2e0) / count(*) OVER (PARTITION BY primary_role, feature) AS p FROM rec_cf JOIN rec_sw USING (primary_role, feature)),
+rec_dd AS (SELECT a.player_id, b.player_id AS other, sqrt(sum(a.w * pow(a.z - b.z, 2))) AS near, sqrt(sum(pow(a.p - b.p, 2))) AS ranked
+  FROM rec_pc a JOIN rec_pc b ON a.primary_role = b.primary_role AND a.feature = b.feature AND a.player_id <> b.player_id GROUP BY ALL),
+rec_tt AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY near, other) AS i, row_number() OVER (PARTITION BY player_id ORDER BY ranked, other) AS j FROM rec_dd)
+SELECT player_id, round(count(*) FILTER (WHERE i <= 10 AND j <= 10) / CAST(count(*) FILTER (WHERE i <= 10 OR j <= 10) AS DOUBLE), 6) AS jaccard
+FROM rec_tt WHERE player_id IN (SELECT player_id FROM ok) GROUP BY player_id""",
+    "co",
+)
 def reconstruction(v):
     """How far ranking by a player's own percentiles finds its neighbours again."""
     from turfline.operators import similarity as S
