@@ -203,6 +203,8 @@ def reconstruct(
         .join(matches, "match_id")
         .withColumn("at", F.col("offset") + F.col("clock"))
     )
+    # The timed events and the spans feed every conflict check below: written once each.
+    timed = settle(timed, "timed")
     late = F.col("at") > F.col("duration") + 0.05
     inside = timed.where(~late)
     boundary = _own_position(_boundaries(inside, tactics), positions)
@@ -242,6 +244,7 @@ def reconstruct(
         "end_s",
         F.coalesce(role, F.lit("unknown")).alias("role"),
     )
+    spans = settle(spans, "spans")
     backward = spans.where(F.col("end_s") < F.col("start_s"))
     segments = spans.where(F.col("end_s") >= F.col("start_s"))
 
