@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from turfline.session import settle
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every greater node has one edge and no lesser node is a greater one elsewhere."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return several.union(chained).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): least node reachable, for every node of the edges (u, v).
 
     Large stars hang the greater neighbours of a node on the least of its neighbourhood,
-    small stars the lesser ones (Kiveris et al. 2014). Minima are aggregates joined back, so a
-    node with very many neighbours is no single group.
+    small stars the lesser ones (Kiveris et al. 2014), until all edges lead from a node to the
+    least one of its component. Minima are aggregates joined back, so a node with very many
+    neighbours is no single group.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -31,9 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v")
         edges = settle(small.distinct(), "small")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    leaves = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -34,7 +34,7 @@ from turfline.session import settle
 
 FOLDS, HELD_OUT = 3, 1
 MAX_TRAIN, PARTS, HELD_PARTS = 8192, 16, 3
-DIMS = 1 << 18
+DIMS = 1 << 17
 ROUNDS, PASSES, COST, SMOOTH = 8, 3, 1.0, 1.0
 
 
@@ -53,7 +53,7 @@ def word_patterns(words: np.ndarray) -> list[tuple[int, np.ndarray]]:
 def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted feature numbers of each text."""
     seen = np.zeros(DIMS, bool)
-    shift = np.uint64(64 - 18)
+    shift = np.uint64(64 - DIMS.bit_length() + 1)
     for _, _, data, offsets in text_slices(texts):
         byte = data.astype(np.uint64)
         grams, code = [], np.zeros(len(data), np.uint64)
@@ -125,7 +125,7 @@ def _class_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for label in (0, 1):
                 own = [r for y, r in zip(labels, rows, strict=True) if y == label]
                 counts = np.bincount(np.concatenate([*own, np.zeros(0, np.int32)]), minlength=DIMS)
-                yield pd.DataFrame({"label": [label], "rows": [len(own)], "counts": [counts.astype("<f8").tobytes()]})
+                yield pd.DataFrame({"label": [label], "rows": [len(own)], "counts": [counts.astype("<f4").tobytes()]})
 
 
 def dual_descent(
@@ -133,7 +133,7 @@ def dual_descent(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Coordinate descent on the dual of the hinge loss (Hsieh et al. 2008) from given weights
     and alphas; returns both. The last weight is the bias. Vectors have length one."""
-    w, alphas = weights.copy(), alphas.copy()
+    w, alphas = weights.astype(np.float64), alphas.copy()
     order = np.random.default_rng(5)
     vectors = [unit(scale, r) for r in rows]
     for _ in range(passes):
@@ -163,7 +163,7 @@ def _solved(scale: np.ndarray, weights: np.ndarray, alphas: dict[int, np.ndarray
                 own = alphas.get(block.part, np.zeros(len(rows)))
                 w, new = dual_descent(labels, rows, scale, weights, own, COST, PASSES)
                 yield pd.DataFrame(
-                    {"part": [block.part], "change": [(w - weights).astype("<f8").tobytes()], "alphas": [new.astype("<f8").tobytes()]}
+                    {"part": [block.part], "change": [(w - weights).astype("<f4").tobytes()], "alphas": [new.astype("<f8").tobytes()]}
                 )
 
     return run
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     fitted = blocks.where(F.col("part") >= HELD_PARTS)
     counts, sizes = {0: np.zeros(DIMS), 1: np.zeros(DIMS)}, {0: 0, 1: 0}
     for row in fitted.mapInPandas(_class_counts, "label int, rows long, counts binary").toLocalIterator():
-        counts[row["label"]] += np.frombuffer(row["counts"], "<f8")
+        counts[row["label"]] += np.frombuffer(row["counts"], "<f4")
         sizes[row["label"]] += row["rows"]
     if not sizes[0] or not sizes[1]:
         return {"constant": 0.5 if not sizes[0] + sizes[1] else float(sizes[1] > 0)}
@@ -210,10 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     scale = ratio[1] - ratio[0]
     weights, alphas = np.zeros(DIMS + 1), {}
     for _ in range(ROUNDS):
-        solved = fitted.mapInPandas(_solved(scale, weights, alphas), "part int, change binary, alphas binary")
+        solved = fitted.mapInPandas(_solved(scale.astype(np.float32), weights.astype(np.float32), alphas), "part int, change binary, alphas binary")
         total, seen, news = np.zeros(DIMS + 1), 0, {}
         for row in solved.toLocalIterator():
-            total += np.frombuffer(row["change"], "<f8")
+            total += np.frombuffer(row["change"], "<f4")
             news[row["part"]] = np.frombuffer(row["alphas"], "<f8")
             seen += 1
         weights = weights + total / seen
