@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 WHITE = r"[^\x20\x09-\x0D]+"
 # Bytes of text that the numpy kernels take at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -54,7 +54,7 @@ def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted feature numbers of each text."""
     seen = np.zeros(DIMS, bool)
     shift = np.uint64(64 - DIMS.bit_length() + 1)
-    for _, _, data, offsets in text_slices(texts):
+    for _, _, data, offsets in text_slices(texts, 1 << 19):
         byte = data.astype(np.uint64)
         grams, code = [], np.zeros(len(data), np.uint64)
         for n in range(1, 5):

@@ -61,13 +61,15 @@ class Words(dict):
     Kinds: 0 plain, NUMBER, NAME if not at the start of a sentence, UNIT if after a number,
     GLUED for a number with its unit attached, EMPTY without any letter or digit."""
 
-    EMPTY, GLUED, KEPT = -1, 9, 400_000
+    EMPTY, GLUED, KEPT = -1, 9, 250_000
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, bool, str]] = []
+        #: What a placeholder can stand for; None for plain words, which take no slot.
+        self.plain: list[str | None] = []
+        self.new: list[tuple[int, int, bool]] = []
         self.known = 0
-        self.arrays = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+        self.arrays = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int8), np.zeros(1 << 14, bool)
 
     def __missing__(self, chunk: str) -> int:
         core, ends = chunk, False
@@ -88,18 +90,20 @@ class Words(dict):
             kind = UNIT
         elif core[0].isupper() and core[1:].islower():
             kind = NAME
-        self[chunk] = number = len(self.rows)
-        self.rows.append((xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")), kind, ends, plain))
+        self[chunk] = number = len(self.plain)
+        self.plain.append(plain if kind > 0 else None)
+        self.new.append((xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")), kind, ends))
         return number
 
     def facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, kinds and sentence ends of all entries; only new ones are filled in."""
-        while len(self.rows) > len(self.arrays[0]):
+        while len(self.plain) > len(self.arrays[0]):
             self.arrays = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.arrays)
-        if new := self.rows[self.known :]:
+        if self.new:
             for column, array in enumerate(self.arrays):
-                array[self.known : len(self.rows)] = [r[column] for r in new]
-            self.known = len(self.rows)
+                array[self.known : len(self.plain)] = [r[column] for r in self.new]
+            self.known = len(self.plain)
+            self.new.clear()
         return self.arrays
 
 
@@ -164,7 +168,7 @@ def window_hashes(
 
 def _slots(kinds: np.ndarray, entries: np.ndarray, words: Words, at: int, width: int) -> list[str]:
     """What the placeholders of a window stand for."""
-    return [f"{k}{words.rows[e][3]}" for k, e in zip(kinds[at : at + width], entries[at : at + width], strict=True) if k > 0]
+    return [f"{k}{words.plain[e]}" for k, e in zip(kinds[at : at + width], entries[at : at + width], strict=True) if k > 0]
 
 
 ITEMS = "item_id long, n_words int, place int, width int, hash long, slots array<string>"
@@ -211,7 +215,7 @@ def _matched(shared, widths: list[int]):
                 while end < len(texts) and (end == first or size + len(texts[end] or "") <= TOGETHER):
                     size += len(texts[end] or "")
                     end += 1
-                if len(words.rows) > Words.KEPT:
+                if len(words.plain) > Words.KEPT:
                     words = Words()
                 codes, kinds, entries, rows, literal = canonical(texts[first:end], words)
                 starts, out = np.searchsorted(rows, np.arange(end - first)), []
