@@ -198,8 +198,10 @@ def hidden_pairs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     close = left.join(right, "centre").where(open_pair & (u["e"] + y["e"] + F.abs(u["m"] - y["m"]) <= bound))
     rare = added.join(common, ["centre", "s"], "left_anti").join(facts, ["centre", "node"])
     left, right = rare.where("apart").select("centre", "s", whole.alias("x")), rare.select("centre", "s", whole.alias("y"))
-    both = left.join(right, ["centre", "s"]).where(open_pair).groupBy("centre", "x", "y").agg(F.count("*").alias("times"))
     needed = (u["m"] + u["e"] + y["m"] + y["e"] - bound) / 2 - F.least(u["m"], y["m"])
+    # Two nodes share at most the lesser number of additions.
+    possible = open_pair & (needed <= F.least(u["e"], y["e"]))
+    both = left.join(right, ["centre", "s"]).where(possible).groupBy("centre", "x", "y").agg(F.count("*").alias("times"))
     both = both.where(F.col("times") >= needed)
     pick = [F.col("x.node").alias("u"), F.col("y.node").alias("v")]
     return close.select(*pick).union(both.select(*pick)).distinct()
