@@ -78,3 +78,22 @@ def test_odd_rows_and_no_rows(frame, odd):
     before = sorted(str(t) for _, t in odd)
     assert sorted(str(r.text) for r in D.sanitised_texts(docs).collect()) == before
     assert D.sanitise(frame([])).collect() == [] and D.sanitised_texts(frame([])).collect() == []
+
+
+def test_terms_of_whole_documents_at_every_place(frame):
+    """A term far from the entity discloses it too, and every copy of it is marked."""
+    far = " ".join(["filler text here"] * 40)
+    rows = [(i, f"Zephyrine {far} writes from joe@x.org now. {far} Again zephyrine, number {i}") for i in range(6)]
+    rows += [(100 + i, f"filler text here writes from now again number {i}") for i in range(300)]
+    rows += [(400, "Zephyrine alone, no address")]
+    texts = {r.doc_id: r.text for r in D.sanitised_texts(frame(rows)).collect()}
+    assert texts[2] == f" {far} writes from <EMAIL> now. {far} Again , number 2" and texts[400] == rows[-1][1]
+
+
+def test_entities_of_one_text(frame):
+    """One text is enough for words that hardly any other has; words of a span or joined to it stay."""
+    rows = [(1, "Quixotic gardener eve@y.org and ann@z.org, éabc1.2.3.4 writes; 😀 quixotic! again")]
+    rows += [(10 + i, f"gardener writes and again {i}") for i in range(1500)]
+    got = {r.doc_id: r for r in D.sanitise(frame(rows)).collect()}
+    assert got[1].spans == "term:0:8,email:18:27,email:32:41,ip:47:54,term:65:73" and got[1].n_term == 2
+    assert {r.spans for d, r in got.items() if d != 1} == {""}

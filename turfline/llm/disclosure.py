@@ -1,17 +1,25 @@
 """Information-theoretic sanitisation of personal data (DataFrame functions only).
 
 Protected entities are found by fixed patterns: e-mail and IP addresses, card and phone
-numbers. Around each of them stand terms that may give the entity away even when it is
-masked. Following information-theoretic sanitisation (Sanchez and Batet 2016), the corpus
-says how strongly: with N documents, D(e) of them holding entity e, D(t) holding term t and
-D(e, t) holding t within ``REACH`` characters of e,
+numbers. A document that holds one may hold terms that give it away even when it is masked.
+Following information-theoretic sanitisation (Sanchez and Batet 2016), the corpus says how
+strongly: with N documents, D(e) of them holding entity e, D(t) holding term t and D(e, t)
+holding e and, anywhere outside all entities, t,
 
     disclosure = log(D(e, t) N / (D(e) D(t))) / log(N / D(e)),
 
 the part of the entity's information that the term reveals; 1 means that every document
 with the term has the entity. A term whose disclosure reaches ``GENERALISE`` is generalised
-to its first letter, from ``REMOVE`` on it is removed. Pairs seen in fewer than ``SUPPORT``
-different texts are chance and stay. Documents without entities are never changed.
+to its first letter, from ``REMOVE`` on it is removed, at every place of the documents that
+hold the entity. D(e, t) of pairs seen in fewer than ``SUPPORT`` different texts may be
+chance and is discounted, as in back-off estimates: it counts ``DISCOUNT`` times. So the
+entities of one or two texts take part, and their terms must be the rarer. Documents without
+entities are never changed.
+
+Entities of the same documents have the same disclosures, so they are counted as one: a long
+text with very many entities of its own makes no pairs of each of them with each term. As
+D(e, t) is at most D(e), only terms with D(t) <= N^(1 - GENERALISE) D(e)^GENERALISE can
+disclose; this bound is exact and goes before the pairs.
 
 Patterns are written so that the JVM matches them without recursion and in linear time; they
 find exactly what the plain ones in the comments find. Positions are code points, from the
@@ -32,7 +40,7 @@ from turfline.llm.common import row_key, table
 from turfline.session import settle
 
 KINDS = ["email", "ip", "card", "phone"]
-REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.75, 0.9
+SUPPORT, DISCOUNT, GENERALISE, REMOVE = 3, 0.25, 0.75, 0.9
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -46,6 +54,9 @@ PATTERNS = {
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Stands for every letter and digit of an entity; words with it overlap an entity.
+HIDDEN = "\ue000"
+OPEN_TERM = rf"[\p{{L}}\p{{N}}{HIDDEN}]{{3,}}"
 BLOCK = 256
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -103,17 +114,34 @@ def found(kind: str, text: Column) -> Column:
     return F.when(may_hold(kind, text), both)
 
 
-def positions(kind: str, pair: Column) -> Column:
-    """Spans (start, kind number, end, value) of the matches that hold.
+def placed(hits: Column, gaps: Column, kept: Column, made, none: Column) -> Column:
+    """``made(start, hit)`` of the matches whose numbers are ``kept``.
 
     Lengths are summed over blocks of matches, so a text with very many matches costs no
-    quadratic time and only the matches that hold are placed."""
+    quadratic time and only the kept matches are placed."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int"))
+    steps = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
 
-    def placed(hits: Column, gaps: Column, steps: Column, blocks: Column, i: Column) -> Column:
+    def one(steps: Column, before: Column, i: Column) -> Column:
         block = F.floor(i / BLOCK).cast("int")
-        before = total(F.slice(blocks, F.lit(1), block)) + total(F.slice(steps, block * BLOCK + 1, i - block * BLOCK))
+        upto = F.element_at(before, block + 1) + total(F.slice(steps, block * BLOCK + 1, i - block * BLOCK))
+        return made(upto + F.length(F.element_at(gaps, i + 1)), F.element_at(hits, i + 1))
+
+    def over(steps: Column, kept: Column) -> Column:
+        blocks = F.transform(numbers, lambda b: total(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
+        before = let(blocks, lambda bl: F.transform(numbers, lambda b: total(F.slice(bl, F.lit(1), b))))
+        return let(before, lambda be: F.transform(kept, lambda i: one(steps, be, i)))
+
+    return let(kept, lambda k: F.when(F.size(k) > 0, let(steps, lambda st: over(st, k))).otherwise(none))
+
+
+def positions(kind: str, pair: Column) -> Column:
+    """Spans (start, kind number, end, value) of the matches that hold."""
+    none = F.array().cast(SPANS)
+
+    def span(start: Column, hit: Column) -> Column:
         return let(
-            F.struct((before + F.length(F.element_at(gaps, i + 1))).alias("start"), F.element_at(hits, i + 1).alias("hit")),
+            F.struct(start.alias("start"), hit.alias("hit")),
             lambda x: F.struct(
                 x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
                 (x["start"] + F.length(x["hit"])).alias("end"), x["hit"].alias("value"),
@@ -121,34 +149,37 @@ def positions(kind: str, pair: Column) -> Column:
         )
 
     def spans(p: Column) -> Column:
-        hits, gaps, last = p["hits"], p["gaps"], F.size(p["hits"]) - 1
-        kept = F.filter(F.sequence(F.lit(0), last), lambda i: holds(kind, F.element_at(hits, i + 1)))
-        steps = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
-        numbers = F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int"))
+        hits = p["hits"]
+        kept = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: holds(kind, F.element_at(hits, i + 1)))
+        return placed(hits, p["gaps"], kept, span, none)
 
-        def over(steps: Column, kept: Column) -> Column:
-            blocks = F.transform(numbers, lambda b: total(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
-            return let(blocks, lambda bl: F.transform(kept, lambda i: placed(hits, gaps, steps, bl, i)))
+    return F.when(F.size(pair["hits"]) > 0, let(pair, spans)).otherwise(none)
 
-        return let(
-            kept, lambda k: F.when(F.size(k) > 0, let(steps, lambda st: over(st, k))).otherwise(F.array().cast(SPANS))
-        )
 
-    return F.when(F.size(pair["hits"]) > 0, let(pair, spans)).otherwise(F.array().cast(SPANS))
+def hidden(text: Column, spans: Column) -> Column:
+    """The text with ``HIDDEN`` for the letters and digits of the spans, all else in its place.
+    Spans of one kind never overlap, so kinds are hidden one after the other."""
 
+    def step(text: Column, own: Column) -> Column:
+        def piece(i: Column) -> Column:
+            start = F.when(i > 0, F.element_at(own, F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
+            last = i == F.size(own)
+            end = F.when(last, F.length(text)).otherwise(F.element_at(own, F.when(last, F.lit(1)).otherwise(i + 1))["start"])
+            value = F.when(last, F.lit("")).otherwise(F.element_at(own, F.when(last, F.lit(1)).otherwise(i + 1))["value"])
+            return F.concat(F.substr(text, start + 1, end - start), F.regexp_replace(value, r"[\p{L}\p{N}]", HIDDEN))
 
-def context(text: Column, span: Column) -> Column:
-    """The text around a span, with where it begins; one more character on each side tells
-    whole words from cut ones."""
-    left = F.greatest(span["start"] - REACH - 1, F.lit(0))
-    return F.struct(
-        left.alias("left_at"), F.substr(text, left + 1, span["start"] - left).alias("left"),
-        F.substr(text, span["end"] + 1, F.lit(REACH + 1)).alias("right"), (F.length(text) - span["end"]).alias("after"),
-    )
+        return F.when(F.size(own) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.size(own)), piece), "")).otherwise(text)
+
+    out = F.translate(text, HIDDEN, " ")
+    for kind in map(F.lit, range(len(KINDS))):
+        own = F.filter(spans, lambda s: s["kind"] == kind)  # noqa: B023
+        out = let(F.struct(out.alias("text"), own.alias("own")), lambda x: step(x["text"], x["own"]))
+    return out
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Per row: uid, doc_id, digest of the text, spans in order, their contexts. Settled."""
+    """Per row: uid, doc_id, spans in order; where there are any, digest of the text and the
+    text with the spans hidden. Settled."""
     rows = docs.select(
         row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").isNotNull().alias("present"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -161,66 +192,85 @@ def entities(docs: DataFrame) -> DataFrame:
         spans.select(
             "uid", "doc_id", "present", "spans",
             F.when(F.size("spans") > 0, F.xxhash64("text")).alias("text_digest"),
-            F.when(F.size("spans") > 0, F.transform("spans", lambda s: context(F.col("text"), s))).alias("contexts"),
+            F.when(F.size("spans") > 0, hidden(F.col("text"), F.col("spans"))).alias("open_text"),
         ),
         "entities",
     )
 
 
-def _terms(side: Column, at: Column, drop_first: Column, drop_last: Column) -> Column:
-    """(term, start, end) of the whole words of a short context."""
-    pair = F.struct(F.regexp_extract_all(side, F.lit(TERM), F.lit(0)).alias("hits"), F.split(side, TERM, -1).alias("gaps"))
+def distinct_terms(text: Column, pattern: str) -> Column:
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.array_distinct(F.transform(hits, F.lower))
 
-    def placed(hits: Column, gaps: Column, i: Column) -> Column:
-        upto = F.transform(F.slice(gaps, F.lit(1), i + 1), F.length)
-        start = at + total(upto) + total(F.transform(F.slice(hits, F.lit(1), i), F.length))
-        hit = F.element_at(hits, i + 1)
-        return F.struct(F.lower(hit).alias("term"), start.alias("start"), (start + F.length(hit)).alias("end"))
 
-    def whole(p: Column) -> Column:
-        hits, gaps, last = p["hits"], p["gaps"], F.size(p["hits"]) - 1
-        cut_first = drop_first & (F.length(F.element_at(gaps, 1)) == 0)
-        cut_last = drop_last & (F.length(F.element_at(gaps, -1)) == 0)
-        kept = F.filter(F.sequence(F.lit(0), last), lambda i: ~((i == 0) & cut_first) & ~((i == last) & cut_last))
-        return F.transform(kept, lambda i: placed(hits, gaps, i))
-
-    none = F.array().cast("array<struct<term:string,start:int,end:int>>")
-    return let(pair, lambda p: F.when(F.size(p["hits"]) > 0, whole(p)).otherwise(none))
-
-
-def neighbours(found_entities: DataFrame) -> DataFrame:
-    """One row per entity occurrence and term near it, outside all spans: uid, text_digest,
-    entity, term, start, end. Settled."""
-    spread = found_entities.where(F.size("spans") > 0).select(
-        "uid", "text_digest", "spans", F.explode(F.arrays_zip("spans", "contexts")).alias("z")
+def held_by(found_entities: DataFrame) -> DataFrame:
+    """(uid, owners, with_entity): the entities of each document, those of the same documents
+    as one. ``owners`` is a digest of the set of documents."""
+    key = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] >= 2, digits(s["value"])).otherwise(F.lower(s["value"])))
+    each = found_entities.where(F.size("spans") > 0).select("uid", F.explode(F.array_distinct(F.transform("spans", key))).alias("entity"))
+    each = settle(each.distinct(), "entity-documents")
+    sets = each.groupBy("entity").agg(
+        F.count("*").alias("with_entity"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "uid")).alias("b")
     )
-    span, near = F.col("z.spans"), F.col("z.contexts")
-    entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] >= 2, digits(span["value"])).otherwise(F.lower(span["value"])))
-    left = _terms(near["left"], near["left_at"], near["left_at"] > 0, F.lit(True))
-    right = _terms(near["right"], span["end"], F.lit(True), near["after"] > REACH + 1)
-    words = spread.select("uid", "text_digest", "spans", entity.alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-    clear = ~F.exists("spans", lambda s: (F.col("w.start") < s["end"]) & (s["start"] < F.col("w.end")))
-    return settle(words.where(clear).select("uid", "text_digest", "entity", "w.term", "w.start", "w.end"), "neighbours")
+    sets = sets.select("entity", "with_entity", F.xxhash64("with_entity", "a", "b").alias("owners"))
+    return settle(each.join(sets, "entity").select("uid", "owners", "with_entity").distinct(), "owners")
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """(term, documents) over the whole texts of all documents; every row of a text counts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    return docs.select(F.explode(distinct_terms(F.col("text"), TERM)).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+
+
+def disclosures(docs: DataFrame, found_entities: DataFrame) -> DataFrame:
+    """(uid, term, disclosure) of the terms that disclose an entity of the document. Settled."""
+    documents = found_entities.where("present").agg(F.count("*").cast("double").alias("n"))
+    terms = found_entities.where(F.size("spans") > 0).select("uid", "text_digest", F.explode(distinct_terms(F.col("open_text"), OPEN_TERM)).alias("term"))
+    terms = terms.where(~F.contains("term", F.lit(HIDDEN))).distinct()
+    met = terms.join(settle(document_counts(docs), "document-counts"), "term").join(F.broadcast(documents))
+    met = met.join(held_by(found_entities), "uid")
+    most = (1 - GENERALISE) * F.log("n") + GENERALISE * F.log("with_entity")
+    pairs = settle(met.where(F.log("with_term") <= most + 1e-9).select("uid", "text_digest", "owners", "term", "with_entity", "with_term", "n"), "pairs")
+    both = pairs.groupBy("owners", "term").agg(
+        F.count("*").alias("with_both"), F.count_distinct("text_digest").alias("texts"), *[F.first(c).alias(c) for c in ["with_entity", "with_term", "n"]]
+    )
+    seen = F.when(F.col("texts") < SUPPORT, F.lit(DISCOUNT)).otherwise(F.lit(1.0)) * F.col("with_both")
+    gained = F.log(seen * F.col("n") / (F.col("with_entity") * F.col("with_term")))
+    share = gained / F.nullif(F.log(F.col("n") / F.col("with_entity")), F.lit(0.0))
+    rated = both.select("owners", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    found_terms = pairs.select("uid", "owners", "term").join(rated, ["owners", "term"])
+    return settle(found_terms.groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure")), "disclosures")
+
+
+TERMS = "array<struct<start:int,kind:int,end:int,by:string>>"
+
+
+def term_marks(text: Column, risky: Column) -> Column:
+    """Marks of every place of the ``risky`` terms (term, by) in a text with hidden spans. The
+    terms are dealt into short lists, as each word is looked up."""
+    none = F.array().cast(TERMS)
+
+    def marks(pair: Column, lists: Column) -> Column:
+        def looked_up(hit: Column) -> Column:
+            return let(F.lower(hit), lambda low: F.filter(F.element_at(lists, F.pmod(F.hash(low), F.size(lists)) + 1), lambda x: x["term"] == low))
+
+        def mark(start: Column, hit: Column) -> Column:
+            return let(
+                F.struct(start.alias("start"), hit.alias("hit")),
+                lambda x: F.struct(
+                    x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), (x["start"] + F.length(x["hit"])).alias("end"),
+                    F.element_at(looked_up(x["hit"]), 1)["by"].alias("by"),
+                ),
+            )
 
+        hits = pair["hits"]
+        kept = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: F.size(looked_up(F.element_at(hits, i + 1))) > 0)
+        return F.when(F.size(hits) > 0, placed(hits, pair["gaps"], kept, mark, none)).otherwise(none)
 
-def disclosures(docs: DataFrame, found_entities: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough support and disclosure. Settled."""
-    documents = found_entities.where("present").agg(F.count("*").alias("n"))
-    held = near.select("entity", "uid").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    pairs = near.select("entity", "term", "uid", "text_digest").distinct().groupBy("entity", "term")
-    pairs = pairs.agg(F.count("*").alias("with_both"), F.count_distinct("text_digest").alias("texts")).where(F.col("texts") >= SUPPORT)
-    joined = settle(pairs, "pairs").join(document_counts(docs), "term").join(held, "entity").join(F.broadcast(documents))
-    n = F.col("n").cast("double")
-    gained = F.log(F.col("with_both") * n / (F.col("with_entity") * F.col("with_term")))
-    share = gained / F.nullif(F.log(n / F.col("with_entity")), F.lit(0.0))
-    rated = joined.select("entity", "term", share.alias("disclosure"))
-    return settle(rated.where(F.col("disclosure") >= GENERALISE), "disclosures")
+    pair = F.struct(F.regexp_extract_all(text, F.lit(OPEN_TERM), F.lit(0)).alias("hits"), F.split(text, OPEN_TERM, -1).alias("gaps"))
+    n = F.least(F.floor(F.size(risky) / 8).cast("int") + 1, F.lit(BLOCK))
+    lists = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(risky, lambda x: F.pmod(F.hash(x["term"]), n) == b))
+    both = F.struct(pair.alias("pair"), lists.alias("lists"))
+    return F.when(F.size(risky) > 0, let(both, lambda x: marks(x["pair"], x["lists"]))).otherwise(none)
 
 
 def _written(spans: Column) -> Column:
@@ -236,22 +286,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: uid, doc_id, counts per kind, digest of the base spans, ``marks``
     (start, kind, end, what replaces it; an empty text removes it) and ``spans`` as text."""
     known = entities(docs)
-    near = neighbours(known)
-    risky = near.join(disclosures(docs, known, near), ["entity", "term"])
     by = F.when(F.col("disclosure") < REMOVE, F.concat(F.upper(F.substring("term", 1, 1)), F.lit("."))).otherwise(F.lit(""))
-    term = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", by.alias("by"))
-    terms = risky.groupBy("uid", "start", "end").agg(F.max("disclosure").alias("disclosure"), F.first("term").alias("term"))
-    terms = terms.groupBy("uid").agg(F.collect_list(term).alias("terms"))
+    risky = disclosures(docs, known).groupBy("uid").agg(F.collect_list(F.struct("term", by.alias("by"))).alias("risky"))
+    none = F.array().cast(TERMS)
     masks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     base = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"], F.element_at(masks, s["kind"] + 1).alias("by")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,by:string>>")
-    rows = known.join(terms, "uid", "left").withColumn("marks", F.array_sort(F.concat(base, F.coalesce("terms", none))))
+    marked = known.join(risky, "uid", "left")
+    marked = marked.withColumn("terms", F.when(F.col("risky").isNotNull(), term_marks(F.col("open_text"), F.col("risky"))).otherwise(none))
+    rows = settle(marked.select("uid", "doc_id", "spans", "terms", F.array_sort(F.concat(base, "terms")).alias("marks")), "marks")
 
     def count(kind: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
     return rows.select(
-        "uid", "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.size(F.coalesce("terms", none)).cast("long").alias("n_term"),
+        "uid", "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.size("terms").cast("long").alias("n_term"),
         F.sha2(_written(F.col("spans")).cast("binary"), 256).alias("base_sha256"), _written(F.col("marks")).alias("spans"), "marks",
     )
 
