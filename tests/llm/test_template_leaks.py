@@ -68,3 +68,15 @@ def test_words_become_placeholders():
     got = " ".join({0: "w", T.NUMBER: "<n>", T.NAME: "<a>", T.UNIT: "<u>"}[int(k)] for k in kinds)
     assert got == "w <a> w <n> w w w <n> <u> w w w <n> w w w <n> <u> w <a> w <n> <u> w w"
     assert [words.plain[e] for k, e in zip(kinds, entries, strict=True) if k == T.NAME] == ["alice", "bob"]
+
+
+def test_names_that_open_sentences_or_have_other_capitals(spark, frame):
+    short = "Maria buys 4 red pens. Jonas buys 7 blue pens. Maria sells 2 pens."
+    other = short.replace("Maria", "Petra").replace("Jonas", "Felix")
+    merged = other.replace(". Felix", " and Felix")
+    capitals = "so then McDonald asks how many maps NASA gave O'Brien after McDonald had left the old town near NASA"
+    changed = capitals.replace("McDonald", "Miller").replace("NASA", "ESA").replace("O'Brien", "Kim")
+    mixed = "so then Miller asks how many maps ESA gave Kim after Kohl had left the old town near UNO"
+    items = spark.createDataFrame([(1, short), (2, capitals)], "item_id long, text string")
+    rows = [(1, other), (2, f"Well, {merged}"), (3, mixed), (4, changed), (5, short.lower()), (6, capitals)]
+    assert found(frame(rows), items) == [(1, 1), (2, 1), (4, 2), (5, 1), (6, 2)]

@@ -2,8 +2,9 @@
 
 Words lose their outer punctuation and case; numbers, names and units become typed
 placeholders that keep what they stood for as a slot. A name is a word with one capital at
-its start that does not open a sentence; a unit is a listed word right after a number, or
-the tail of one (5kg). Every window of ``WINDOW`` words of a benchmark item and of a
+its start that does not open a sentence; such a word that opens one, and a word with other
+capitals (McDonald, NASA), may be a name or not, and windows with them are hashed in either
+reading of each. A unit is a listed word right after a number, or the tail of one (5kg). Every window of ``WINDOW`` words of a benchmark item and of a
 document has a 64-bit template hash. The hashes of all items mark a bit table of fixed size; document windows
 that miss it cannot match, the others are hash-joined with the items' windows. Windows with
 placeholders are also hashed as they stand, so that a copy in other capitals matches too.
@@ -11,7 +12,7 @@ placeholders are also hashed as they stand, so that a copy in other capitals mat
 An item leaks into a document if matched windows cover at least ``COVER`` of its words
 along one alignment (up to ``DRIFT`` words of insertions or losses), and the slots agree:
 the same benchmark value always has the same document value, except for at most a tenth of
-the slots. So a question asked again with other numbers or names is caught, while mere
+the slots; if the readings as names spoil that, the other windows decide alone. So a question asked again with other numbers or names is caught, while mere
 likeness of form is not; windows with fewer than ``PLAIN`` plain words prove nothing.
 
 Items shorter than a window are one window of their own length. Defined results: null or
@@ -39,6 +40,7 @@ WINDOW, COVER, DRIFT, PLAIN = 6, 0.5, 8, 3
 #: Bits of the table that document windows must hit; its size does not depend on the data.
 MARKS = 23
 NUMBER, NAME, UNIT = 1, 2, 3
+FACTOR = np.uint64(0xD1342543DE82EF95)
 #: Words taken as units after a number.
 UNITS = set(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -59,9 +61,9 @@ class Words(dict):
     """Chunk -> number of its entry (hash, kind, whether a sentence ends, plain form).
 
     Kinds: 0 plain, NUMBER, NAME if not at the start of a sentence, UNIT if after a number,
-    GLUED for a number with its unit attached, EMPTY without any letter or digit."""
+    CAPITALS for a word that may be a name, GLUED for a number with its unit attached, EMPTY without any letter or digit."""
 
-    EMPTY, GLUED, KEPT = -1, 9, 250_000
+    EMPTY, CAPITALS, GLUED, KEPT = -1, 8, 9, 250_000
 
     def __init__(self):
         super().__init__()
@@ -90,6 +92,8 @@ class Words(dict):
             kind = UNIT
         elif core[0].isupper() and core[1:].islower():
             kind = NAME
+        elif len(core) > 1 and core[0].isupper():
+            kind = self.CAPITALS
         self[chunk] = number = len(self.plain)
         self.plain.append(plain if kind > 0 else None)
         self.new.append((xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")), kind, ends))
@@ -127,7 +131,7 @@ def canonical(texts: list[str | None], words: Words) -> tuple[np.ndarray, ...]:
     before = np.concatenate([[0], kinds[:-1]])
     before[start] = 0
     start[1:] |= ends_of[entry[:-1]]
-    kinds = np.where((kinds == NAME) & start, 0, kinds)
+    kinds = np.where(((kinds == NAME) & start) | (kinds == Words.CAPITALS), 0, kinds)
     kinds = np.where((kinds == UNIT) & (before != NUMBER), 0, kinds)
     glued = kinds == Words.GLUED
     if glued.any():  # a number with its unit attached reads as the number, then the unit
@@ -141,51 +145,90 @@ def canonical(texts: list[str | None], words: Words) -> tuple[np.ndarray, ...]:
     return np.where(kinds > 0, kinds.astype(np.uint64), codes), kinds, entry, rows, codes
 
 
+def may_be_names(kinds: np.ndarray, entries: np.ndarray, words: Words) -> np.ndarray:
+    """Plain words that would be names elsewhere or are written in other capitals."""
+    if not len(entries):
+        return np.zeros(0, bool)
+    own = words.facts()[1][entries]
+    return (kinds == 0) & ((own == NAME) | (own == Words.CAPITALS))
+
+
 def window_hashes(
-    codes: np.ndarray, kinds: np.ndarray, rows: np.ndarray, literal: np.ndarray, width: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first words, whether literal) of the windows of ``width`` words: as templates if
-    they hold enough plain words, and as they stand if they hold placeholders."""
+    codes: np.ndarray, kinds: np.ndarray, rows: np.ndarray, literal: np.ndarray, maybe: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first words, whether literal, bits of the words read as names) of the windows of
+    ``width`` words: as templates if they hold enough plain words, in all readings of the words
+    that may be names, and as they stand if they hold placeholders."""
     n = max(len(codes) - width + 1, 0)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    plain = np.zeros(n, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    plain, bits = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for j in range(width):
         plain += kinds[j : j + n] == 0
+        bits |= maybe[j : j + n].astype(np.int64) << j
     inside = rows[:n] == rows[width - 1 :]
 
-    def rolled(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-        runs, mixed = np.zeros(len(at), np.uint64), mix64(values)
+    def runs(mixed: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
             for j in range(width):
-                runs = runs * np.uint64(0xD1342543DE82EF95) + mixed[at + j]
-            return mix64(runs + np.uint64(width))
+                out = out * FACTOR + mixed[at + j]
+        return out
 
     shapes, exact = np.flatnonzero(inside & (plain >= PLAIN)), np.flatnonzero(inside & (plain < width) & (width >= PLAIN))
-    hashes = np.concatenate([rolled(codes, shapes), rolled(literal, exact)])
-    return hashes, np.concatenate([shapes, exact]), np.repeat([False, True], [len(shapes), len(exact)])
+    mixed = mix64(codes)
+    found, places, masks = [runs(mixed, shapes)], [shapes], [np.zeros(len(shapes), np.int64)]
+    some = np.flatnonzero((bits[shapes] > 0) & (plain[shapes] > PLAIN))
+    first, base, own, spare = shapes[some], found[0][some], bits[shapes[some]], plain[shapes[some]] - PLAIN
+    name = mix64(np.array([NAME], np.uint64))[0]
+    for mask in range(1, 1 << width) if len(some) else ():
+        where = [j for j in range(width) if mask >> j & 1]
+        if len(where) > width - PLAIN:
+            continue
+        read = np.flatnonzero(((own & mask) == mask) & (spare >= len(where)))
+        if not len(read):
+            continue
+        hashes, at = base[read], first[read]
+        with np.errstate(over="ignore"):
+            for j in where:  # a run is a polynomial, so a word is exchanged by its term
+                hashes = hashes + (name - mixed[at + j]) * np.uint64(pow(int(FACTOR), width - 1 - j, 1 << 64))
+        found.append(hashes)
+        places.append(at)
+        masks.append(np.full(len(read), mask, np.int64))
+    found.append(runs(mix64(literal), exact))
+    places.append(exact)
+    masks.append(np.zeros(len(exact), np.int64))
+    places = np.concatenate(places)
+    with np.errstate(over="ignore"):
+        hashes = mix64(np.concatenate(found) + np.uint64(width))
+    return hashes, places, np.repeat([False, True], [len(places) - len(exact), len(exact)]), np.concatenate(masks)
 
 
-def _slots(kinds: np.ndarray, entries: np.ndarray, words: Words, at: int, width: int) -> list[str]:
-    """What the placeholders of a window stand for."""
-    return [f"{k}{words.plain[e]}" for k, e in zip(kinds[at : at + width], entries[at : at + width], strict=True) if k > 0]
+def _slots(kinds: np.ndarray, entries: np.ndarray, words: Words, at: int, width: int, mask: int = 0) -> list[str]:
+    """What the placeholders of a window stand for; the words of ``mask`` are names."""
+    out = []
+    for j, (k, e) in enumerate(zip(kinds[at : at + width], entries[at : at + width], strict=True)):
+        if k > 0 or mask >> j & 1:
+            out.append(f"{k if k > 0 else NAME}{words.plain[e]}")
+    return out
 
 
-ITEMS = "item_id long, n_words int, place int, width int, hash long, slots array<string>"
+ITEMS = "item_id long, n_words int, place int, width int, hash long, item_named boolean, slots array<string>"
 
 
 def _item_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         words, out = Words(), []
         codes, kinds, entries, rows, literal = canonical(frame["text"].tolist(), words)
+        maybe = may_be_names(kinds, entries, words)
         bounds = np.searchsorted(rows, np.arange(len(frame) + 1))
         for item, a, b in zip(frame["item_id"], bounds[:-1], bounds[1:], strict=True):
             width = min(WINDOW, b - a)
-            found = window_hashes(codes[a:b], kinds[a:b], rows[a:b], literal[a:b], width) if width else ([], [], [])
-            for h, at, exact in zip(*found, strict=True):
-                slots = [] if exact else _slots(kinds, entries, words, a + at, width)
-                out.append((item, b - a, at, width, int(h.view(np.int64)), slots))
-        yield pd.DataFrame(out, columns=["item_id", "n_words", "place", "width", "hash", "slots"])
+            found = window_hashes(codes[a:b], kinds[a:b], rows[a:b], literal[a:b], maybe[a:b], width) if width else ([], [], [], [])
+            for h, at, exact, mask in zip(*found, strict=True):
+                slots = [] if exact else _slots(kinds, entries, words, a + at, width, int(mask))
+                out.append((item, b - a, at, width, int(h.view(np.int64)), mask > 0, slots))
+        yield pd.DataFrame(out, columns=["item_id", "n_words", "place", "width", "hash", "item_named", "slots"])
 
 
 def bit_table(windows: DataFrame) -> np.ndarray:
@@ -198,7 +241,7 @@ def bit_table(windows: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
-HITS = "uid long, doc_id long, at int, hash long, slots array<string>"
+HITS = "uid long, doc_id long, at int, hash long, named boolean, slots array<string>"
 
 
 def _matched(shared, widths: list[int]):
@@ -218,20 +261,21 @@ def _matched(shared, widths: list[int]):
                 if len(words.plain) > Words.KEPT:
                     words = Words()
                 codes, kinds, entries, rows, literal = canonical(texts[first:end], words)
+                maybe = may_be_names(kinds, entries, words)
                 starts, out = np.searchsorted(rows, np.arange(end - first)), []
                 for width in widths:
-                    hashes, places, exact = window_hashes(codes, kinds, rows, literal, width)
+                    hashes, places, exact, masks = window_hashes(codes, kinds, rows, literal, maybe, width)
                     marks = hashes >> np.uint64(64 - MARKS)
                     hit = (table[(marks >> np.uint64(6)).astype(np.int64)] >> (marks & np.uint64(63))) & np.uint64(1)
                     for i in np.flatnonzero(hit):
                         at = int(places[i])
                         row = int(rows[at])
-                        slots = [] if exact[i] else _slots(kinds, entries, words, at, width)
-                        out.append((uids[first + row], ids[first + row], at - int(starts[row]), int(hashes[i].view(np.int64)), slots))
+                        slots = [] if exact[i] else _slots(kinds, entries, words, at, width, int(masks[i]))
+                        out.append((uids[first + row], ids[first + row], at - int(starts[row]), int(hashes[i].view(np.int64)), bool(masks[i]), slots))
                 if out:
-                    kinds_of = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+                    kinds_of = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
                     columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "at", "hash", "slots"])
+                    yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "at", "hash", "named", "slots"])
                 first = end
 
     return run
@@ -252,26 +296,36 @@ def agreement(asked: list[list[str]], found: list[list[str]]) -> tuple[float, in
 LEAKS = "doc_id long, item_id long, coverage double, changed_slots int, first_word int, last_word int"
 
 
+def _aligned(frame: pd.DataFrame, cover: float) -> tuple[float, int, int, int] | None:
+    """(coverage, changed slots, first, last word) of the best alignment, if it is a leak."""
+    frame = frame.assign(n=-frame["slots"].map(len)).sort_values("n", kind="stable").drop_duplicates(["at", "place", "width"])
+    shift = (frame["at"] - frame["place"]).to_numpy()
+    frame = frame.iloc[np.lexsort((frame["at"], shift))]
+    shift = np.sort(shift)
+    n, width = int(frame["n_words"].iloc[0]), int(frame["width"].iloc[0])
+    places, best = frame["place"].to_numpy(), None
+    for a in np.unique(np.searchsorted(shift, np.unique(shift))):
+        b = int(np.searchsorted(shift, shift[a] + DRIFT, side="right"))
+        marked = np.zeros(n, bool)
+        for j in range(width):
+            marked[places[a:b] + j] = True
+        share = marked.mean()
+        if share >= cover and (best is None or share > best[0]):
+            same, changed = agreement(frame["asked"].iloc[a:b].tolist(), frame["slots"].iloc[a:b].tolist())
+            if same >= 0.9:
+                at = frame["at"].iloc[a:b]
+                best = (float(share), changed, int(at.min()), int(at.max()) + width - 1)
+    return best
+
+
 def _judged(cover: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """The best alignment of one item in one document, if it is a leak."""
-        frame = frame.assign(n=-frame["slots"].map(len)).sort_values("n", kind="stable").drop_duplicates(["at", "place", "width"])
-        shift = (frame["at"] - frame["place"]).to_numpy()
-        frame = frame.iloc[np.lexsort((frame["at"], shift))]
-        shift = np.sort(shift)
-        n, width = int(frame["n_words"].iloc[0]), int(frame["width"].iloc[0])
-        places, best = frame["place"].to_numpy(), None
-        for a in np.unique(np.searchsorted(shift, np.unique(shift))):
-            b = int(np.searchsorted(shift, shift[a] + DRIFT, side="right"))
-            marked = np.zeros(n, bool)
-            for j in range(width):
-                marked[places[a:b] + j] = True
-            share = marked.mean()
-            if share >= cover and (best is None or share > best[0]):
-                same, changed = agreement(frame["asked"].iloc[a:b].tolist(), frame["slots"].iloc[a:b].tolist())
-                if same >= 0.9:
-                    at = frame["at"].iloc[a:b]
-                    best = (float(share), changed, int(at.min()), int(at.max()) + width - 1)
+        """The best alignment of one item in one document, if it is a leak: of the windows without
+        words read as names, or of all windows where that covers more."""
+        named = (frame["named"] | frame["item_named"]).to_numpy()
+        best = None if named.all() else _aligned(frame[~named], cover)
+        if named.any() and (best is None or best[0] < 1) and (more := _aligned(frame, cover)) and (best is None or more[0] > best[0]):
+            best = more
         rows = [] if best is None else [(frame["doc_id"].iloc[0], frame["item_id"].iloc[0], *best)]
         out = pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "changed_slots", "first_word", "last_word"])
         return out.assign(uid=frame["uid"].iloc[0])
