@@ -81,3 +81,14 @@ def test_dictionary_counts_whole_corpus(frame):
     rows = [(1, "Alpha beta, beta BETA."), (2, None), (3, "gamma alpha x9 of"), (4, "beta")]
     assert S.dictionary(frame(rows), 2) == ["beta", "alpha"]
     assert S.secrets(frame([])).collect() == []
+
+
+def test_every_name_of_a_credential_alone():
+    """Whether a value is found depends on its own name only, not on other words of the text."""
+    costs = S.GuessCost(RANKED)
+    names = "password passwd pwd passphrase passcode secret secretkey secret_key token apikey api_key accesskey access_key"
+    names += " accessKey PrivateKey private_key authkey AUTH_KEY credential credentials pin"
+    for name in names.split():
+        for text in (f"{name}: x9#F!kQ2$v", f"shopping {name}: x9#F!kQ2$v"):
+            assert [(k, text[s:e]) for s, k, e in S.scan(text, costs)] == [(3, "x9#F!kQ2$v")], text
+    assert S.scan("bearer x9#F!kQ2$vLm", costs) == [(7, 3, 19)]

@@ -43,11 +43,15 @@ KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-MORE_CUES = ("pwd", "passphrase", "passcode", "credential", "bearer", "private_key", "access_key", "auth_key", "pin")
+#: What names a credential, and what may stand between two parts of a name.
+NAMES = ("password", "passwd", "pwd", "passphrase", "passcode", "secret", "secret_?key", "token", "api_?key", "access_?key", "private_?key", "auth_?key", "credential", "credentials", "pin")
 CONTEXT = re.compile(
-    r"""(?ai)(?<![a-z])(?:password|passwd|pwd|passphrase|passcode|secret(?:_?key)?|token|api_?key|access_?key|private_?key|auth_?key|credentials?|pin)"""
+    rf"""(?ai)(?<![a-z])(?:{"|".join(sorted(NAMES, key=len, reverse=True))})"""
     r"""["']?[\x20\t]*(?:[:=]+>?|\bis\b)[\x20\t]*["'`]?([^\s"'`,;<>]{6,})|(?<![a-z])bearer[\x20\t]+([^\s"'`,;<>]{12,})"""
 )
+#: Cheap test that ``CONTEXT`` can match: its names in both spellings, without those that hold another.
+SPELLED = {n.replace("_?", x) for n in (*NAMES, "bearer") for x in ("", "_")}
+CONTEXT_CUES = tuple(sorted(n for n in SPELLED if not any(m != n and m in n for m in SPELLED)))
 #: Rows of a keyboard and other sequences that walks follow.
 ROWS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz"]
 LOOKS = str.maketrans("4@8310!5$7+2", "aabeloissttz")
@@ -152,7 +156,7 @@ def scan(text: str, costs: GuessCost | None) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if costs is not None and (any(c in low for c in CUES) or any(c in low for c in MORE_CUES)):
+    if costs is not None and any(c in low for c in CONTEXT_CUES):
         found.sort()
         starts, reach = [s for s, _, _ in found], []
         for _, _, e in found:
