@@ -90,17 +90,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that end a term: all of ASCII but digits and letters.
+NO_TERM = np.ones(256, bool)
+NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def word_bounds(
-    data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None
+    data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None, gap: np.ndarray = _IS_SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, rows) of the maximal runs without white space; words never cross rows.
-    ``cuts`` marks the bytes, and the end, at which another word begins all the same."""
+    """(starts, ends, rows) of the maximal runs without white space, or other bytes in ``gap``;
+    words never cross rows. ``cuts`` marks the bytes, and the end, at which another word begins
+    all the same."""
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~_IS_SPACE[data]
+    solid = ~gap[data]
     begins = np.zeros(len(data) + 1, bool) if cuts is None else cuts.copy()
     begins[offsets[:-1]] = True
     before = np.concatenate([[False], solid[:-1]])

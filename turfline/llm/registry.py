@@ -18,6 +18,9 @@ MODULES = [
     "pivot_search",
     "water_filling",
     "template_leaks",
+    "importance_resampling",
+    "lexical_search",
+    "chat_tree",
 ]
 
 
