@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_all_operators_are_registered():
     queries = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in queries if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in queries and set(load()[1]) <= set(contract.oracle_sql())
 
