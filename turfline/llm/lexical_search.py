@@ -49,11 +49,20 @@ INDEX = (
 
 
 def terms_of(texts, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, term hashes, rows relative to the first) of slices of texts."""
-    for first, end, data, offsets in text_slices(texts, limit):
+    """(first row, end row, term hashes, rows relative to the first) of runs of texts of some
+    ``limit`` bytes; texts are cut and hashed in smaller slices, whose hashes alone are kept."""
+    began, upto, held, own, size = 0, 0, [], [], 0
+    for first, end, data, offsets in text_slices(texts):
         folded = LOWER[data]
         starts, ends, rows = word_bounds(folded, offsets, gap=NO_TERM)
-        yield first, end, signed(span_hashes(folded, starts, ends)), rows
+        held.append(signed(span_hashes(folded, starts, ends)))
+        own.append(rows + (first - began))
+        upto, size = end, size + len(data)
+        if size >= limit:
+            yield began, upto, np.concatenate(held), np.concatenate(own)
+            began, held, own, size = upto, [], [], 0
+    if held:
+        yield began, upto, np.concatenate(held), np.concatenate(own)
 
 
 def postings(terms: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
