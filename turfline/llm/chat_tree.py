@@ -193,7 +193,8 @@ def build(conversations: DataFrame, path: str | None = None) -> tuple[DataFrame,
     node = ["n1", "n2", "pos"]
     found = chained.groupBy(*node).agg(*[F.min(c).alias(c) for c in ("conv", "d1", "d2", "m1", "m2", "n_tokens")])
     found = settle(found, "nodes")
-    branching = found.where("pos > 1").groupBy("m1", "m2", "pos").agg(F.count("*").alias("children")).where("children > 1")
+    # Written, so that the join on it stands alone and a hot first turn can be split.
+    branching = settle(found.where("pos > 1").groupBy("m1", "m2", "pos").agg(F.count("*").alias("children")).where("children > 1"), "branching")
     marked = chained.select("conv", "part", *node, "m1", "m2", "n_tokens").join(branching, ["m1", "m2", "pos"], "left")
     head = ((F.col("pos") == 1) | F.col("children").isNotNull()).cast("long")
     scan = carried(
