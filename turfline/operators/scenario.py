@@ -449,11 +449,12 @@ def leave_one_out(
     )
 
 
-def holdout_medians(ladder: DataFrame, members: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median of a group without one member, for every member.
+def holdout_middles(ladder: DataFrame, members: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The middle values of a group without one member, for every member.
 
     Leaving one value out moves the middle by at most one place, so three middle
-    values per group serve all members; nothing is rebuilt per member.
+    values per group serve all members; nothing is rebuilt per member. Adds mid_low,
+    mid_high and the number of mates; members alone in their group have no row.
     """
     low = F.floor((F.col("n_total") - 2) / 2)
     at = lambda p: F.max(
@@ -471,8 +472,13 @@ def holdout_medians(ladder: DataFrame, members: DataFrame, keys: Sequence[str],
     pick = lambda p: F.element_at(
         "_mid", (p + F.when(p >= F.col("n_below"), 1).otherwise(0) - first + 1).cast("int")
     )
-    median = (pick(first) + pick(last)) / 2
-    return placed.withColumn("mates_median", median).select(*members.columns, "mates_median")
+    return placed.select(*members.columns, pick(first).alias("mid_low"), pick(last).alias("mid_high"), (F.col("_n") - 1).alias("mates"))
+
+
+def holdout_medians(ladder: DataFrame, members: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Median of a group without one member, for every member."""
+    middles = holdout_middles(ladder, members, keys, value)
+    return middles.select(*members.columns, ((F.col("mid_low") + F.col("mid_high")) / 2).alias("mates_median"))
 
 
 def metric_rollup(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:

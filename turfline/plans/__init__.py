@@ -14,6 +14,7 @@ TOPICS = [
     "similarity",
     "evaluation",
     "ranking",
+    "peers",
     "prediction",
     "resolution",
     "sources",
