@@ -501,6 +501,17 @@ def select_method(summary: DataFrame, order: Sequence[str], floor: float = 0.65)
     return passed.agg(F.min_by("method", place).alias("first")).select(F.coalesce("first", none).alias("method"))
 
 
+def gate(summary: DataFrame, order: Sequence[str], floor: float = 0.65) -> DataFrame:
+    """Every method's measured figures with whether it may be chosen and whether it is: the
+    first of ``order`` that retrieves above random and is stable enough. No method may pass."""
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method"))
+    fit = (F.col("mrr") > F.col("random_mrr")) & (F.col("weight_jaccard") >= floor)
+    judged = summary.withColumn("eligible", fit)
+    first = judged.agg(F.min(F.when(F.col("eligible") & (place > 0), place)).alias("_first"))  # one row
+    chosen = F.col("eligible") & (place > 0) & F.coalesce(place == F.col("_first"), F.lit(False))
+    return judged.join(F.broadcast(first)).withColumn("selected", chosen).drop("_first")
+
+
 def native_ranking(
     candidates: DataFrame, needs: DataFrame, scales: DataFrame, pool: Sequence[str]
 ) -> DataFrame:
