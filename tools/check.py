@@ -21,7 +21,7 @@ TYPES = {
 UNIT_TESTED = {
     "knn_pca": "tests/test_similarity.py", "pca_map": "tests/test_similarity.py", "pca_loadings": "tests/test_similarity.py",
     "ridge_rate": "tests/test_prediction.py", "poisson_rate": "tests/test_prediction.py", "method_choice": "tests/test_prediction.py",
-    "provider_classifier": "tests/test_prediction.py",
+    "provider_classifier": "tests/test_prediction.py", "method_sweep_pca": "tests/test_similarity.py",
 }
 
 

@@ -15,6 +15,7 @@ TOPICS = [
     "evaluation",
     "ranking",
     "peers",
+    "sweep",
     "prediction",
     "resolution",
     "sources",

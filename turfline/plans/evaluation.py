@@ -173,7 +173,7 @@ iv AS (SELECT t.player_id, t.draw, count(*) FILTER (WHERE b.other IS NOT NULL) A
 
 @query(
     "bootstrap_stability",
-    "I5 I7 I16",
+    "I5 I7",
     f"WITH {STAB_SQL} SELECT player_id, round(avg(common / (20e0 - common)), 6) AS stability FROM iv GROUP BY player_id",
     "co",
 )
@@ -223,7 +223,7 @@ COMMON_SQL = """oc AS (SELECT a.method, a.primary_role, a.player_id, count(b.oth
 
 @query(
     "method_sweep",
-    "I8 I18",
+    "I18",
     f"""WITH {SCORES_SQL},
 me AS (SELECT 'robust' AS method, primary_role, player_id, feature, robust AS z, part / 5 AS w FROM zs
   UNION ALL SELECT 'standard', primary_role, player_id, feature, standard, part / 5 FROM zs

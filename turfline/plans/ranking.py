@@ -350,7 +350,7 @@ def bootstrap_percentiles(v):
 
 @query(
     "profile_bootstrap_ranking",
-    "J13 J20",
+    "J13",
     None,
 )
 def profile_bootstrap_ranking(v):
@@ -407,7 +407,7 @@ def loo_context(v):
 
 @query(
     "temporal_peers",
-    "J16 J19",
+    "J19",
     f"""WITH {PAIR_SQL}, r AS (SELECT 'weighted_rms' AS method, primary_role, rank, candidates FROM rk)
 SELECT method, primary_role, count(*) AS queries, round(avg(1e0 / rank), 6) AS mrr, round(avg(CASE WHEN candidates > 1 THEN 1 - (rank - 1) / CAST(candidates - 1 AS DOUBLE) END), 6) AS rank_percentile,
  round(avg(candidates), 6) AS mean_candidates FROM r GROUP BY ROLLUP (method, primary_role)""",
@@ -436,7 +436,7 @@ def roster_holdout(v):
 
 @query(
     "reconstruction",
-    "J18",
+    "I5",
     f"""WITH {PAIR_SQL}, rec_cf AS (SELECT player_id, primary_role, feature, value, family FROM (SELECT *, {FAMILY_CASE} AS family FROM ({LONG_CO}) v) q),
 rec_sm AS (SELECT primary_role, feature, family, avg(value) AS m, stddev_pop(value) AS sd FROM rec_cf GROUP BY ALL),
 rec_sw AS (SELECT *, 1e0 / (5 * count(*) OVER (PARTITION BY primary_role, family)) AS w FROM rec_sm),
@@ -467,7 +467,7 @@ def reconstruction(v):
 
 @query(
     "method_selection",
-    "J21",
+    "I2",
     f"""WITH {PAIR_SQL}, m AS (SELECT primary_role AS method, {METRIC_SQL}, avg(list_sum(list_transform(range(1, candidates + 1), lambda i: 1e0 / i)) / candidates) AS random_mrr,
   CASE WHEN primary_role = 'CB' THEN 0.5 ELSE 0.8 END AS jaccard FROM rk GROUP BY primary_role)
 SELECT (SELECT method FROM m WHERE mrr > random_mrr AND jaccard >= 0.65 ORDER BY list_position(['CB', 'W', 'ST', 'CM', 'FB/WB'], method) LIMIT 1) AS method""",
