@@ -7,9 +7,15 @@ digits and found by dynamic programming:
 * a word costs its rank in the corpus' own dictionary, times variants of capitals and of
   look-alike characters;
 * a date costs its days and forms; a repeat the cost of what repeats times the count;
-* a keyboard or alphabet walk costs its starts, turns and length;
+* a walk is a chain of straight runs over neighbouring keys, or letters of the alphabet: it
+  costs its start, and for each run its direction and length; the next run turns at the last
+  key or starts beside the key where the last one started, and one of the same direction and
+  length costs a choice of two;
 * brute force costs a digit per character.
 
+Every place, unit, count, run and part of a run takes part in the segmentation, so a walk or
+date may also end early before another span.
+
 A value that stands where a credential is named (password, pin, bearer, private key ...) and
 that costs at least ``COSTLY`` digits becomes a span of kind ``guess``, unless a fixed
 pattern has found it already. So placeholders such as "changeme" or "password2024" stay.
@@ -30,11 +36,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.llm.common import table
+from turfline.operators.ordering import row_index
+from turfline.session import settle
 
 DICTIONARY = 20_000
 COSTLY = 10.0
@@ -58,24 +67,24 @@ LOOKS = str.maketrans("4@8310!5$7+2", "aabeloissttz")
 SHIFTED = str.maketrans("~!@#$%^&*()_+{}|:\"<>?", "`1234567890-=[]\\;',./")
 
 
-def _neighbours() -> dict[str, set[str]]:
-    """Keys that follow one another on a walk, in either direction: along a row or, on the
-    keyboard, to the touching keys of the next row."""
-    out: dict[str, set[str]] = {}
+def _directions() -> dict[tuple[str, str], frozenset[str]]:
+    """Directions in which one key follows another: along a row or the alphabet, or, on the
+    keyboard, to one of the two touching keys of the next row."""
+    out: dict[tuple[str, str], set[str]] = {}
 
-    def link(a: str, b: str) -> None:
-        out.setdefault(a, set()).add(b)
-        out.setdefault(b, set()).add(a)
+    def link(a: str, b: str, name: str) -> None:
+        out.setdefault((a, b), set()).add(f"{name}+")
+        out.setdefault((b, a), set()).add(f"{name}-")
 
-    for row in ROWS:
+    for row, name in zip(ROWS, ["row", "row", "row", "row", "letter"], strict=True):
         for a, b in zip(row, row[1:], strict=False):
-            link(a, b)
+            link(a, b, name)
     grid = [ROWS[0][1:], *ROWS[1:4]]
     for upper, lower in zip(grid, grid[1:], strict=False):
         for i, a in enumerate(lower):
-            for b in upper[i : i + 2]:
-                link(a, b)
-    return out
+            for side, b in enumerate(upper[i : i + 2]):
+                link(a, b, f"up{side}")
+    return {pair: frozenset(names) for pair, names in out.items()}
 
 
 DATE = re.compile(
@@ -90,7 +99,7 @@ class GuessCost:
     def __init__(self, ranked: list[str]):
         self.rank = {w: math.log10(i + 1) for i, w in enumerate(ranked)}
         self.longest = max(map(len, ranked), default=0)
-        self.near = _neighbours()
+        self.near = _directions()
 
     def words(self, value: str) -> Iterator[tuple[int, int, float]]:
         low = value.lower()
@@ -112,40 +121,99 @@ class GuessCost:
 
     def dates(self, value: str) -> Iterator[tuple[int, int, float]]:
         for start, c in enumerate(value):
-            if c.isdigit() and (found := DATE.match(value, start)):
-                days = 120 if found.end() - start == 4 else 120 * 366
-                yield start, found.end(), math.log10(days * (4 if found[1] or found[2] else 1))
-
-    def walks(self, value: str) -> Iterator[tuple[int, int, float]]:
-        keys, start = value.translate(SHIFTED).lower(), 0
-        for end in range(1, len(keys) + 1):
-            if end == len(keys) or keys[end] not in self.near.get(keys[end - 1], ()):
-                if end - start >= 3:
-                    steps = [ord(b) - ord(a) for a, b in zip(keys[start:end], keys[start + 1 : end], strict=False)]
-                    turns = 1 + sum(a != b for a, b in zip(steps, steps[1:], strict=False))
-                    yield start, end, math.log10(47 * 4.0 * (end - start)) + turns * math.log10(4)
-                start = end
-
-    def repeats(self, value: str) -> Iterator[tuple[int, int, float]]:
-        for found in re.finditer(r"(.{1,32}?)\1+", value):
-            unit = found[1]
-            once = self.least(unit) if len(unit) < len(value) else float(len(unit))
-            yield found.start(), found.end(), once + math.log10((found.end() - found.start()) / len(unit))
+            if c.isdigit():
+                for end in range(start + 4, min(start + 10, len(value)) + 1):
+                    if found := DATE.fullmatch(value, start, end):
+                        days = 120 if end - start == 4 and value[start : start + 2] in ("19", "20") else 120 * 366
+                        yield start, end, math.log10(days * (4 if found[1] or found[2] else 1))
+
+    def runs(self, value: str) -> dict[int, list[tuple[int, frozenset[str]]]]:
+        """Straight runs by the place of their last key: where they start, and their directions."""
+        keys, out = value.translate(SHIFTED).lower(), {}
+        for last in range(1, len(keys)):
+            ways = self.near.get((keys[last - 1], keys[last]))
+            if ways:
+                own = [(last - 1, ways)]
+                own += [(start, both) for start, before in out.get(last - 1, ()) if (both := before & ways)]
+                out[last] = own
+        return out
+
+    def walk_ends(self, value: str) -> Iterator[tuple[int, float, list[float]]]:
+        """For every end in turn (end, least cost of what ends there in a walk); the caller adds
+        the cost of everything up to each end to the list that it is given with the first one."""
+        keys, runs = value.translate(SHIFTED).lower(), self.runs(value)
+        best: list[float] = []
+        cost: dict[int, list[float]] = {}
+        turned: dict[int, float] = {}
+        for end in range(len(value) + 1):
+            last, least = end - 1, math.inf
+            if last in runs:
+                held = []
+                for start, ways in runs[last]:
+                    size = last - start
+                    fresh = math.log10(8 * size)
+                    way = best[start] + (1.0 if start else 0.0) + math.log10(47) + fresh
+                    way = min(way, turned.get(start, math.inf) + fresh)
+                    for (before, old), paid in zip(runs.get(start - 1, ()), cost.get(start - 1, ()), strict=True):
+                        if (keys[before], keys[start]) in self.near:
+                            same = start - 1 - before == size and ways & old
+                            way = min(way, paid + math.log10(8) + (math.log10(2) if same else fresh))
+                    held.append(way)
+                cost[last], turned[last] = held, min(held)
+                least = turned[last]
+            yield end, least, best
+
+    def repeats(self, value: str) -> Iterator[tuple[int, float, int, int]]:
+        """(end, cost of one unit, its length, greatest count) of everything that repeats and ends
+        there. A unit that is best priced as a repeat itself is left to its own unit."""
+        codes = np.array([ord(c) for c in value])
+        periods = {}
+        for unit in range(1, min(32, len(value) // 2) + 1):
+            same = codes[unit:] == codes[:-unit]
+            at = np.arange(1, len(same) + 1)
+            run = at - np.maximum.accumulate(np.where(same, 0, at))
+            if (run >= unit).any():
+                periods[unit] = run
+        once: dict[str, float | None] = {}
+        for end in range(2, len(value) + 1):
+            for unit, run in periods.items():
+                if end > unit and run[end - unit - 1] >= unit:
+                    part = value[end - unit : end]
+                    if part not in once:
+                        cost, inner = max(self.least(part), 0.3), (part + part).find(part, 1)
+                        root = max(self.least(part[:inner]), 0.3) if inner < unit else math.inf
+                        once[part] = None if cost >= root + math.log10(unit / inner) - 1e-12 else cost
+                    if once[part] is not None:
+                        yield end, once[part], unit, int(run[end - unit - 1]) // unit + 1
 
     def least(self, value: str) -> float:
         """Dynamic programming over end positions. Every further span costs one more digit and
         neighbouring brute-force characters form one span."""
         ends: dict[int, list[tuple[int, float]]] = {}
-        for spans in (self.words, self.dates, self.walks, self.repeats):
+        for spans in (self.words, self.dates):
             for start, end, cost in spans(value):
                 ends.setdefault(end, []).append((start, cost))
-        best, brute = [0.0], [math.inf]
-        for end in range(1, len(value) + 1):
-            loose = 1.0 + min(brute[end - 1], best[end - 1] + (1.0 if end > 1 else 0.0))
-            spans = [best[s] + max(c, 0.3) + (1.0 if s else 0.0) for s, c in ends.get(end, ())]
-            brute.append(loose)
-            best.append(min([loose, *spans]))
-        return best[-1]
+        again: dict[int, list[tuple[float, int, int]]] = {}
+        for end, *repeat in self.repeats(value):
+            again.setdefault(end, []).append(tuple(repeat))
+        counts = np.log10(np.arange(1, len(value) + 2))
+        paid, brute = np.zeros(len(value) + 1), math.inf
+        for end, walked, best in self.walk_ends(value):
+            if end == 0:
+                best.append(0.0)
+                continue
+            loose = 1.0 + min(brute, best[end - 1] + (1.0 if end > 1 else 0.0))
+            options = [loose, walked, *(best[s] + max(c, 0.3) + (1.0 if s else 0.0) for s, c in ends.get(end, ()))]
+            for cost, unit, most in again.get(end, ()):
+                # From the shortest, of two units, to the longest.
+                before = paid[end - 2 * unit :: -unit][: most - 1] + counts[1:most]
+                further = 1.0 if end > most * unit else 0.0
+                before[:-1] += 1.0
+                options.append(min(float(before[:-1].min(initial=math.inf)), float(before[-1]) + further) + cost)
+            brute = loose
+            best.append(min(options))
+            paid[end] = best[end]
+        return paid[-1] if value else 0.0
 
 
 def scan(text: str, costs: GuessCost | None) -> list[tuple[int, int, int]]:
@@ -198,11 +266,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of all documents, most frequent first, ties by code point."""
+    """The most frequent words of all documents, most frequent first, ties by code point.
+
+    The driver gets the sizes of the frequency classes and then ``size`` words, whatever the
+    number of tasks: the words above the class in which the list ends, and of that class the
+    first ones by ranges."""
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     counts = texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = counts.select(F.col("word").cast("string").alias("word"), "n").where(F.length("word") <= 24)
-    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
+    words = settle(words.withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "words")
+    sizes = dict(words.groupBy("class").agg(F.count("*")).collect())
+    above, edge = 0, None
+    for edge in sorted(sizes, reverse=True):
+        if above + sizes[edge] >= size:
+            break
+        above += sizes[edge]
+    if edge is None:
+        return []
+    last = words.where(F.col("class") == edge).select("word", "n", F.lit(0).alias("all"), (-F.col("n")).alias("falling"))
+    last = row_index(last, ["all"], "falling", "word", "place").where(F.col("place") <= size - above)
+    found = words.where(F.col("class") > edge).select("word", "n").unionByName(last.select("word", "n")).collect()
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"].encode()))]
 
 
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
