@@ -518,10 +518,11 @@ def native_ranking(
     """Raw values against near / at_least / at_most targets in league scales.
 
     candidates: scenario_id, player_id, feature, value; needs: scenario_id, feature,
-    target, mode, weight; scales: league scale per feature. Duplicate players of a
-    wider pool keep their best row.
+    target, mode, weight; scales: scale per feature, or per league and feature. Duplicate
+    players of a wider pool keep their best row.
     """
-    joined = candidates.join(needs, [*pool, "feature"]).join(scales, "feature")
+    own = [c for c in ("league", "feature") if c in scales.columns]
+    joined = candidates.join(needs, [*pool, "feature"]).join(scales, own)
     gap = (F.col("value") - F.col("target")) / F.col("scale")
     loss = (
         F.when(F.col("mode") == "at_least", F.greatest(F.lit(0.0), -gap))

@@ -348,10 +348,27 @@ def bootstrap_percentiles(v):
     return out.select("draw", "player_id", J.quantised(F.col("pct")).alias("tenths"))
 
 
+PROFILE_SQL = f"""{RANK_SQL}, {BOOT_SQL.replace(f'range(1, {DRAWS + 1})', 'range(1, 6)')},
+bw AS ({" UNION ALL ".join(f"SELECT draw, player_id, '{c}' AS feature, {c} AS value FROM bs" for c in RATES)}),
+bp AS (SELECT b.draw, b.player_id, b.feature, floor(100 * (count(*) FILTER (WHERE r.value < b.value) + 0.5e0 * count(*) FILTER (WHERE r.value = b.value)) / count(*) * 10 + 0.5) / 10e0 AS pct
+  FROM bw b JOIN co c USING (player_id) JOIN l r ON r.primary_role = c.primary_role AND r.feature = b.feature GROUP BY b.draw, b.player_id, b.feature),
+dp AS (SELECT s.scenario_id, s.target_role, p.draw, c.player_id, r.weight, {LOSS} AS loss, r.hard FROM sc s JOIN cd c ON c.role = s.target_role
+  JOIN rq r ON r.scenario_id = s.scenario_id AND r.preference <> 'neutral' JOIN bp p ON p.player_id = c.player_id AND p.feature = r.feature),
+dw AS (SELECT scenario_id, draw, player_id, sqrt(sum(weight * loss * loss) / sum(weight)) AS distance FROM dp JOIN jd USING (scenario_id, player_id)
+  WHERE reasons IN ('', 'hard_feature_constraint:carries_per90') GROUP BY ALL HAVING NOT bool_or(hard AND loss > 1e-9)),
+dq AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, draw ORDER BY floor(distance * 1e6 + 0.5) / 1e6, player_id) AS drank FROM dw),
+dk AS (SELECT scenario_id, least(count(*), 10) AS k FROM rn GROUP BY scenario_id),
+dc AS (SELECT k.scenario_id, g.draw, k.k, count(q.player_id) AS common FROM dk k CROSS JOIN range(1, 6) g(draw)
+  LEFT JOIN (SELECT d.scenario_id, d.draw, d.player_id, d.drank, rn.rank FROM dq d JOIN rn USING (scenario_id, player_id)) q
+  ON q.scenario_id = k.scenario_id AND q.draw = g.draw AND q.drank <= k.k AND q.rank <= k.k GROUP BY ALL),
+dj AS (SELECT scenario_id, avg(common / CAST(2 * k - common AS DOUBLE)) AS mean_jaccard FROM dc GROUP BY scenario_id)"""
+
+
 @query(
     "profile_bootstrap_ranking",
     "J13",
-    None,
+    f"""WITH {PROFILE_SQL} SELECT target_role, count(*) AS scenarios, round(avg(mean_jaccard), 6) AS mean_jaccard FROM dj JOIN sc USING (scenario_id) GROUP BY ROLLUP (target_role)""",
+    "co",
 )
 def profile_bootstrap_ranking(v):
     """Rank stability of every scenario under profile bootstraps, by target role."""
@@ -526,3 +543,57 @@ SELECT player_id, decision, sum(minutes) AS minutes, CAST(count(*) AS DOUBLE) AS
 def asof_universe(v):
     days = v.table("orders").select(F.trunc(F.to_date("o_orderdate"), "year").alias("decision_date")).distinct()
     return J.asof_universe(v.pm, days, "player_id", ["passes"])
+
+
+@query(
+    "filter_reasons_full",
+    "J5 J7",
+    f"""WITH {RANK_SQL},
+hx AS (SELECT r.scenario_id, pc.player_id FROM rq r JOIN pc ON pc.feature = r.feature WHERE hard AND preference <> 'neutral' AND {LOSS} > 1e-9)
+SELECT s.scenario_id, c.player_id, array_to_string(list_sort(list_filter([CASE WHEN NOT eligible THEN 'uncertain_role' END, CASE WHEN c.role <> s.target_role THEN 'wrong_role' END,
+  CASE WHEN minutes < minimum_minutes THEN 'below_minutes' END,
+  CASE WHEN minimum_stability > 0 AND (stab IS NULL OR stab < minimum_stability) THEN 'below_evidence_threshold' END,
+  CASE WHEN exclude_same_club AND team = club_id THEN 'same_club_excluded' END,
+  CASE WHEN candidate_team_id IS NOT NULL AND team <> candidate_team_id THEN 'candidate_team_filter' END,
+  CASE WHEN c.player_id = replacement_player_id THEN 'replacement_reference' END,
+  CASE WHEN hx.player_id IS NOT NULL THEN 'hard_feature_constraint:carries_per90' END], lambda z: z IS NOT NULL)), ';') AS reasons
+FROM sc s CROSS JOIN cd c LEFT JOIN hx ON hx.scenario_id = s.scenario_id AND hx.player_id = c.player_id""",
+    "co",
+)
+def filter_reasons_full(v):
+    """Every candidate of every role with all its reasons, those of other roles included."""
+    s, r, c = inputs(v)
+    out = J.judge(s, J.packed_requirements(r), c, ROLES)
+    return out.select("scenario_id", "player_id", F.array_join("reasons", ";").alias("reasons"))
+
+
+MODES = {f: (("near", "at_least", "at_most")[i % 3], float(1 + i % 2)) for i, f in enumerate(RATES)}
+
+
+@query(
+    "native_ranking_all",
+    "J22",
+    f"""WITH v AS ({" UNION ALL ".join(f"SELECT player_id, primary_role, competition_id, '{f}' AS feature, {f} AS value, '{m}' AS mode, {w}e0 AS weight FROM co" for f, (m, w) in MODES.items())}),
+s AS (SELECT competition_id, feature, stddev_pop(value) AS scale FROM v GROUP BY ALL),
+n AS (SELECT primary_role AS scenario_id, feature, quantile_cont(value, 0.5) AS target FROM v GROUP BY ALL),
+g AS (SELECT n.scenario_id, v.player_id, v.competition_id, weight, mode, (value - target) / scale AS gap FROM v JOIN n ON n.scenario_id = v.primary_role AND n.feature = v.feature
+  JOIN s ON s.feature = v.feature AND s.competition_id = v.competition_id)
+SELECT scenario_id, player_id, competition_id AS league, round(sqrt(sum(weight * pow(CASE mode WHEN 'at_least' THEN greatest(0, -gap) WHEN 'at_most' THEN greatest(0, gap) ELSE abs(gap) END, 2)) / sum(weight)), 6) AS distance
+FROM g GROUP BY ALL""",
+    "co",
+)
+def native_ranking_all(v):
+    """All eight raw values near, at least or at most the role's median, in league scales."""
+    from turfline.operators.ordering import group_quantiles
+
+    rows = settle(
+        P.melt(v.co, ["player_id", "primary_role", "competition_id"], RATES).select(
+            F.col("primary_role").alias("scenario_id"), "player_id", F.col("competition_id").alias("league"), "feature", "value"
+        ),
+        "native",
+    )
+    scales = rows.groupBy("league", "feature").agg(F.stddev_pop("value").alias("scale"))
+    how = lambda i, kind: F.element_at(F.create_map(*[F.lit(x) for f, m in MODES.items() for x in (f, m[i])]), F.col("feature")).cast(kind)
+    needs = group_quantiles(rows, ["scenario_id", "feature"], "value", {"target": 0.5})
+    needs = needs.withColumns({"mode": how(0, "string"), "weight": how(1, "double")})
+    return rounded(J.native_ranking(rows, needs, scales, ["scenario_id"]), "distance")
