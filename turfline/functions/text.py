@@ -100,6 +100,9 @@ def decode_escapes(name) -> Column:
 
 
 HANGUL = range(0xAC00, 0xD7A4)
+#: Ranges whose characters all fold to themselves: ideographs, surrogates and private use, and
+#: the planes behind them; they are not asked one by one.
+UNCHANGED = [range(0x3400, 0xA000), range(0xD800, 0xF900), range(0x17000, 0x1B000), range(0x20000, 0x2F800), range(0x30000, 0x110000)]
 
 
 def _fold_exact(text: str) -> str:
@@ -113,9 +116,10 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     their one-character forms, followed by the characters that vanish; and longer forms.
     Hangul syllables, which fold by arithmetic, are left out."""
     plain, folded, gone, longer = [], [], [], {}
-    for point in range(0x80, 0x110000):
-        if 0xD800 <= point < 0xE000 or point in HANGUL:
-            continue
+    asked, skipped = [], sorted([HANGUL, *UNCHANGED], key=lambda r: r.start)
+    for start, stop in zip([0x80, *(r.stop for r in skipped)], [r.start for r in skipped], strict=False):
+        asked.extend(range(start, stop))
+    for point in asked:
         char = chr(point)
         base = _fold_exact(char)
         if base == char:
@@ -134,29 +138,29 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 def _jamo(char: Column) -> Column:
     """The two or three letters of a Hangul syllable."""
     at = F.ascii(char) - HANGUL.start
-    part = lambda first, n: F.array(*[F.lit(chr(first + i)) for i in range(n)])
-    tail = F.array(F.lit(""), *[F.lit(chr(0x11A8 + i)) for i in range(27)])
+    part = lambda first, n, i: F.substring(F.lit("".join(chr(first + k) for k in range(n))), F.floor(i).cast("int") + 1, F.lit(1))
+    tail = at % 28
     return F.concat(
-        F.element_at(part(0x1100, 19), F.floor(at / 588).cast("int") + 1),
-        F.element_at(part(0x1161, 21), F.floor(at % 588 / 28).cast("int") + 1),
-        F.element_at(tail, (at % 28).cast("int") + 1),
+        part(0x1100, 19, at / 588), part(0x1161, 21, at % 588 / 28), F.when(tail > 0, part(0x11A8, 27, tail - 1)).otherwise("")
     )
 
 
 def normalise_name(name) -> Column:
     """NFKD without combining marks, case-folded, punctuation to space, single spaces, in
-    every script. Characters with longer forms are rare; only texts that hold one are split."""
+    every script. ASCII names only need small letters; characters with longer forms are rare,
+    and only texts that hold one are split."""
     plain, folded, longer = _folds()
     raw = col(name)
     syllable = f"[{chr(HANGUL.start)}-{chr(HANGUL.stop - 1)}]"
     several = "[" + "".join(re.escape(c) for c in longer) + "]"
-    forms = literal_map(longer)
+    # One literal: a map built entry by entry costs more than the names.
+    forms = F.str_to_map(F.lit("\x02".join(f"{c}\x01{x}" for c, x in longer.items())), F.lit("\x02"), F.lit("\x01"))
     each = F.transform(
         F.split(raw, ""),
         lambda c: F.when(c.rlike(syllable), _jamo(c)).when(c.rlike(several), F.element_at(forms, c)).otherwise(c),
     )
     text = F.when(raw.rlike(syllable) | raw.rlike(several), F.array_join(each, "")).otherwise(raw)
-    text = F.translate(text, plain, folded)
+    text = F.when(raw.rlike(r"[^\x00-\x7F]"), F.translate(text, plain, folded)).otherwise(F.lower(raw))
     text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
