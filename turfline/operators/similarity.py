@@ -2,8 +2,8 @@
 
 All distances reduce to Euclidean distance between prepared vectors: weighted z
 scores, family-wise unit vectors (cosine) or principal components. Neighbours are
-found block against block -- only the best ``k`` per query leave a block -- and in
-groups larger than one block, blocks are skipped by an exact lower bound.
+found block against block -- only the best ``k`` per query leave a block -- and
+blocks are skipped by an exact lower bound, the distance of the boxes around them in all axes.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turfline.functions.measures import literal_map
-from turfline.operators.ordering import quantile_columns, row_index, top_k, value_ladder
+from turfline.operators.ordering import quantile_columns, top_k, value_ladder
 from turfline.operators.profiles import melt
 from turfline.session import settle
 
 BLOCK = 4096
 TINY = 1e-10
+#: What rounding may add to a distance that bounds another.
+SLACK = 1e-9
 
 
 # -- scaling ---------------------------------------------------------------------------
@@ -165,11 +167,23 @@ def _squares(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield i, total
 
 
+def _within(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` come within their radius of the box around ``b``."""
+    low, high, gap = b.min(axis=0), b.max(axis=0), np.zeros(len(a))
+    for axis in range(a.shape[1]):
+        short = np.maximum(0.0, np.maximum(low[axis] - a[:, axis], a[:, axis] - high[axis]))
+        gap += short * short
+    return np.sqrt(gap) <= radius + SLACK
+
+
 def _nearest_kernel(keys: list[str], k: int, skip_self: bool, columns: list[str]):
     def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in columns}
         if len(left) and len(right):
             a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+            if "radius" in left:
+                near = _within(a, b, left["radius"].to_numpy())
+                left, a = left[near], a[near]
             qid, cid = left["id"].to_numpy(), right["id"].to_numpy()
             for start, d2 in _squares(a, b):
                 d = np.sqrt(d2)  # ties are decided on the distance itself
@@ -187,7 +201,7 @@ def _nearest_kernel(keys: list[str], k: int, skip_self: bool, columns: list[str]
                     out["neighbour"].extend(cid[best])
                     out["distance"].extend(row[best])
             for key in keys:
-                out[key] = [left[key].iloc[0]] * len(out["id"])
+                out[key] = [right[key].iloc[0]] * len(out["id"])
         return pd.DataFrame(out, columns=columns)
 
     return nearest_in_block
@@ -206,37 +220,48 @@ def _twin(df: DataFrame) -> DataFrame:
 
 
 def _with_blocks(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    """Blocks of at most ``block`` rows along a projection of the vectors; written
-    once because several joins read the same numbering."""
+    """Blocks of at most ``block`` rows that lie close together, written once.
+
+    Rows are sorted, by ranges, by the signs of their coordinates and then along a projection:
+    scaled vectors are centred, so the signs halve every axis. A block is a run of rows of one
+    range; no numbering over the group is needed.
+    """
+    shifted = lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    signs = F.aggregate(F.transform(F.slice("vec", 1, 60), shifted), F.lit(0).cast("bigint"), lambda a, x: a + x)
     total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)
-    placed = df.withColumn("p", total / F.sqrt(F.size("vec").cast("double")))
-    numbered = row_index(placed, keys, "p", "id", "_at")
-    return settle(
-        numbered.withColumn("block", F.floor((F.col("_at") - 1) / block).cast("bigint")).drop("_at"),
-        "blocks",
-    )
+    order = [*keys, "_signs", "_along", "id"]
+    placed = df.withColumns({"_signs": signs, "_along": total})
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / block).cast("bigint"))
+    return settle(numbered.drop("_signs", "_along"), "blocks")
+
+
+def _boxes(rows: DataFrame, keys: Sequence[str], block: str, *extra: Column) -> DataFrame:
+    """(keys, block, low, high): the least and greatest coordinates of every block."""
+    cells = rows.select(*keys, block, *extra, F.posexplode("vec").alias("axis", "v"))
+    names = [c for c in cells.columns if c not in (*keys, block, "axis", "v")]
+    edges = cells.groupBy(*keys, block, "axis").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), *[F.max(c).alias(c) for c in names])
+    packed = edges.groupBy(*keys, block).agg(F.array_sort(F.collect_list(F.struct("axis", "lo", "hi"))).alias("box"), *[F.max(c).alias(c) for c in names])
+    return packed
 
 
 def _visits(queries: DataFrame, blocked: DataFrame, keys: Sequence[str], home: bool) -> DataFrame:
-    """Blocks a query must visit: those whose projections come within its radius.
+    """Blocks a block of queries must visit: those whose box comes within its greatest radius.
 
-    |p(q) - p(c)| never exceeds the distance of q and c, so no neighbour is lost.
-    The borders of a group's blocks travel as one array.
+    Two rows are at least as far apart as the boxes around them, so no neighbour is lost; the
+    kernels ask the same of every single query.
     """
-    borders = (
-        blocked.groupBy(*keys, "block")
-        .agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("block", "lo", "hi")).alias("borders"))
+    asks = _boxes(queries, keys, "block", F.col("radius"))
+    asked = _boxes(blocked.withColumnRenamed("block", "target"), keys, "target").withColumnRenamed("box", "other")
+    gap = F.aggregate(
+        F.zip_with("box", "other", lambda a, b: F.greatest(F.lit(0.0), a["lo"] - b["hi"], b["lo"] - a["hi"])),
+        F.lit(0.0),
+        lambda total, g: total + g * g,
     )
-    slack = F.col("radius") + 1e-9
-    reach = F.filter(
-        "borders",
-        lambda b: (b["lo"] <= F.col("p") + slack) & (b["hi"] >= F.col("p") - slack),
-    )
-    seen = queries.join(borders, list(keys)).withColumn("seen", F.explode(reach)).drop("borders")
-    seen = seen.withColumn("target", F.col("seen.block")).drop("seen")
-    return seen if home else seen.where(F.col("target") != F.col("block"))
+    pairs = asks.join(_twin(asked), list(keys)).where(F.sqrt(gap) <= F.col("radius") + SLACK)
+    if not home:
+        pairs = pairs.where(F.col("target") != F.col("block"))
+    return queries.join(_twin(pairs.select(*keys, "block", "target")), [*keys, "block"])
 
 
 def _meet(queries: DataFrame, blocked: DataFrame, keys: Sequence[str], kernel, schema) -> DataFrame:
@@ -248,8 +273,8 @@ def _meet(queries: DataFrame, blocked: DataFrame, keys: Sequence[str], kernel, s
         .join(pairs, [*keys, "target"])
         .select(*at, "id", "vec")
     )
-    left = queries.select(*at, *[c for c in queries.columns if c not in [*at, "p", "radius"]])
-    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(kernel, schema)
+    left = queries.select(*at, *[c for c in queries.columns if c not in at])
+    return left.groupBy(*at).cogroup(_twin(right).groupBy(*at)).applyInPandas(kernel, schema)
 
 
 def nearest(
@@ -257,7 +282,7 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest rows of the same group, ties by id, no self.
 
-    First the own block for an upper bound, then every block within that bound.
+    First the own block for an upper bound, then every block whose box is within that bound.
     ``probes`` names the ids that ask; without it every row does.
     """
     keys = list(keys)
@@ -287,6 +312,8 @@ def _rank_kernel(keys: list[str], columns: list[str]):
         out: dict[str, list] = {c: [] for c in columns}
         if len(left) and len(right):
             a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+            near = _within(a, b, left["radius"].to_numpy())
+            left, a = left[near], a[near]
             qid, cid, own = left["id"].to_numpy(), right["id"].to_numpy(), left["own"].to_numpy()
             for start, d2 in _squares(a, b):
                 d = np.sqrt(d2)
@@ -301,7 +328,7 @@ def _rank_kernel(keys: list[str], columns: list[str]):
                 out["earlier"].extend(((d < mine) & ~tied).sum(axis=1))
                 out["tied"].extend(tied.sum(axis=1))
             for key in keys:
-                out[key] = [left[key].iloc[0]] * len(out["id"])
+                out[key] = [right[key].iloc[0]] * len(out["id"])
         return pd.DataFrame(out, columns=columns)
 
     return ranks_in_block
@@ -329,13 +356,7 @@ def counterpart_ranks(
     schema = _schema(a, keys, id_type, extra)
     kernel = _rank_kernel(keys, schema.names)
     blocked = _with_blocks(b, keys, block)
-    own = blocked.select(*keys, "id", "block")
-    total = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v)
-    placed = (
-        queries.join(own, [*keys, "id"])
-        .withColumn("p", total / F.sqrt(F.size("vec").cast("double")))
-        .withColumn("radius", F.col("own"))
-    )
+    placed = _with_blocks(queries.withColumn("radius", F.col("own")), keys, block)
     parts = _meet(_visits(placed, blocked, keys, True), blocked, keys, kernel, schema)
     counted = parts.groupBy(*keys, "id").agg(
         *[F.sum(n).alias(n) for n in ("nearer", "earlier", "tied")]
