@@ -165,3 +165,20 @@ def test_rank_summary_example(spark):
     overlaps, rows = J.rank_summary(ref, draws, ["s"], "id", 1, 2)
     assert overlaps.first().mean_jaccard == 0.5
     assert {r.id: r.top_k_inclusion for r in rows.collect()}["a"] == 0.5
+
+
+@pytest.mark.parametrize("axes", [8, 16, 64])
+def test_boxes_leave_blocks_out(spark, axes):
+    """With rows in clusters, a small share of the block pairs meets, and no neighbour is lost."""
+    rng = np.random.default_rng(axes)
+    centres = rng.normal(0, 3, (24, axes))
+    points = np.concatenate([c + rng.normal(0, 0.2, (50, axes)) for c in centres])
+    rows = spark.createDataFrame([("g", i, p.tolist()) for i, p in enumerate(points)], "g string, id long, vec array<double>")
+    blocked = S._with_blocks(rows, ["g"], 50)
+    blocks = blocked.select("block").distinct().count()
+    met = S._visits(blocked.withColumn("radius", F.lit(0.2 * (2 * axes) ** 0.5)), blocked, ["g"], False).select("block", "target").distinct().count()
+    print(f"axes {axes}: {met} of {blocks * (blocks - 1)} block pairs")
+    assert met < 0.6 * blocks * (blocks - 1)
+    got = sorted((r.id, r.neighbour) for r in S.nearest(rows, ["g"], "id", 3, 50).collect())
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) + np.diag(np.full(len(points), np.inf))
+    assert got == sorted((i, int(j)) for i in range(len(points)) for j in np.argsort(d[i], kind="stable")[:3])

@@ -176,6 +176,11 @@ def _within(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.ndarray:
     return np.sqrt(gap) <= radius + SLACK
 
 
+def _frame(out: dict[str, list], columns: list[str]) -> pd.DataFrame:
+    """Lists as a frame; empty ones stay untyped, so that they fit any schema."""
+    return pd.DataFrame(out, columns=columns) if out["id"] else pd.DataFrame(columns=columns, dtype=object)
+
+
 def _nearest_kernel(keys: list[str], k: int, skip_self: bool, columns: list[str]):
     def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in columns}
@@ -202,7 +207,7 @@ def _nearest_kernel(keys: list[str], k: int, skip_self: bool, columns: list[str]
                     out["distance"].extend(row[best])
             for key in keys:
                 out[key] = [right[key].iloc[0]] * len(out["id"])
-        return pd.DataFrame(out, columns=columns)
+        return _frame(out, columns)
 
     return nearest_in_block
 
@@ -329,7 +334,7 @@ def _rank_kernel(keys: list[str], columns: list[str]):
                 out["tied"].extend(tied.sum(axis=1))
             for key in keys:
                 out[key] = [right[key].iloc[0]] * len(out["id"])
-        return pd.DataFrame(out, columns=columns)
+        return _frame(out, columns)
 
     return ranks_in_block
 
