@@ -167,10 +167,12 @@ def match_clock(events: DataFrame, ends: DataFrame) -> DataFrame:
 def on_pitch_context(events: DataFrame, intervals: DataFrame) -> DataFrame:
     """Distinct own/opponent possessions and team passes while on the pitch.
 
-    Equi-join on the match with the interval as residual. Possession keys are
-    first merged per (match, player, key) -- a combinable aggregate -- and only
-    then counted, so no distinct aggregate expands the rows. ``intervals`` has
-    match_id, player_id, team_id, start_s, end_s; several rows per player add up.
+    Time is cut into about the square root of a match's events many bands. A band
+    inside an interval counts by its merged possessions; only the bands that hold
+    an end of the interval are met event by event, so no event sees all intervals
+    of its match and a match with many events spreads over its bands. ``intervals``
+    has match_id, player_id, team_id, start_s, end_s; several rows per player add
+    up; a missing bound or an end before the start gives nothing.
     """
     slim = events.where(F.col("period") <= 4).select(
         "match_id",
@@ -179,20 +181,51 @@ def on_pitch_context(events: DataFrame, intervals: DataFrame) -> DataFrame:
         "possession",
         "possession_team",
         F.col("team_id").alias("actor_team"),
-        _open_pass().alias("open_pass"),
-        "event_id",
+        _open_pass().cast("bigint").alias("passes"),
+    )
+    extent = slim.groupBy("match_id").agg(
+        F.min("at").alias("_from"), F.max("at").alias("_to"), F.ceil(F.sqrt(F.count("at"))).alias("_bands")
+    ).where(F.col("_bands") > 0)
+    width = F.when(F.col("_to") > F.col("_from"), (F.col("_to") - F.col("_from")) / F.col("_bands")).otherwise(1.0)
+    extent = extent.select("match_id", "_from", "_to", "_bands", width.alias("_width"))
+    # Clamped before the cast; monotone in the clock, so a band strictly between
+    # those of both ends lies inside the interval.
+    band = lambda c: F.greatest(
+        F.lit(0.0), F.least(F.floor((F.col(c) - F.col("_from")) / F.col("_width")).cast("double"), F.col("_bands") - 1.0)
+    ).cast("bigint")
+    shape = ["match_id", "band", "edge", "at", "period", "possession", "possession_team", "actor_team", "passes"]
+    banded = slim.where(F.col("at").isNotNull()).join(extent, "match_id").withColumn("band", band("at"))
+    merged = (
+        banded.groupBy("match_id", "band", "period", "possession", "possession_team", "actor_team")
+        .agg(F.sum("passes").alias("passes"))
+        .withColumns({"edge": F.lit(False), "at": F.lit(None).cast("double")})
+    )
+    moments = banded.withColumns({"edge": F.lit(True), "at": F.col("at").cast("double")})
+    met = (
+        intervals.select("match_id", "player_id", "team_id", "start_s", "end_s")
+        .join(extent, "match_id")
+        .where(
+            (F.col("start_s") <= F.col("end_s")) & (F.col("start_s") <= F.col("_to")) & (F.col("end_s") >= F.col("_from"))
+        )
+        .withColumns({"_first": band("start_s"), "_last": band("end_s")})
+        .withColumn("band", F.explode(F.sequence("_first", "_last")))
+        .withColumn("edge", F.col("band").isin(F.col("_first"), F.col("_last")))
+        .select("match_id", "band", "edge", "player_id", "team_id", "start_s", "end_s")
+    )
+    inside = (
+        merged.select(*shape)
+        .unionByName(moments.select(*shape))
+        .join(met, ["match_id", "band", "edge"])
+        .where(~F.col("edge") | F.col("at").between(F.col("start_s"), F.col("end_s")))
     )
-    inside = slim.join(
-        intervals.select("match_id", "player_id", "team_id", "start_s", "end_s"), "match_id"
-    ).where(F.col("at").between(F.col("start_s"), F.col("end_s")))
     keyed = F.col("possession").isNotNull() & F.col("possession_team").isNotNull()
     per_key = inside.groupBy(
         "match_id", "player_id", "team_id", "period", "possession", "possession_team"
     ).agg(
         F.min(keyed).alias("keyed"),
-        F.count_if(keyed & F.col("open_pass") & (F.col("actor_team") == F.col("team_id"))).alias(
-            "team_passes"
-        ),
+        F.coalesce(
+            F.sum(F.when(keyed & (F.col("actor_team") == F.col("team_id")), F.col("passes"))), F.lit(0)
+        ).alias("team_passes"),
     )
     own = F.col("possession_team") == F.col("team_id")
     complete = F.min("keyed")

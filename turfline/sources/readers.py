@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.measures import reason_list
 from turfline.functions.pitch import parse_pair, to_reference_pitch
 from turfline.functions.text import clock_seconds, entity_key, position_group
+from turfline.session import settle
 
 EVENT_SCHEMA = """id string, match_id bigint, `index` bigint, period int, timestamp string,
 type struct<id:int,name:string>, team struct<id:bigint>, player struct<id:bigint>, possession bigint,
@@ -65,14 +66,30 @@ def read_tracking(spark: SparkSession, path: str, first: int, last: int, stride:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A4: text files as (file, line, raw), line numbers from 1.
 
-    A source sheet is a small file and is read whole, so its numbering needs no
-    shuffle.
+    A large file is read by several tasks. Each byte range knows its start and the
+    order of its own lines; the counts of the ranges before it, one small row per
+    range, give the numbers. A line ends with a line feed, a carriage return before
+    it is dropped, and an empty end of the file is no line.
     """
-    whole = spark.read.text(path, wholetext=True)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return whole.select(
-        name.alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("place", "raw")
-    ).select("file", (F.col("place") + 1).cast("bigint").alias("line"), "raw")
+    meta = F.col("_metadata")
+    ranges = ["path", "start"]
+    read = settle(
+        spark.read.option("lineSep", "\n").text(path).select(
+            meta["file_path"].alias("path"),
+            meta["file_block_start"].alias("start"),
+            F.monotonically_increasing_id().alias("place"),
+            F.regexp_replace("value", r"\r$", "").alias("raw"),
+        ),
+        "lines",
+    )
+    counted = read.groupBy(*ranges).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(*ranges, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return read.join(starts, ranges).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        (F.col("place") - F.col("first") + F.col("before") + 1).cast("bigint").alias("line"),
+        "raw",
+    )
 
 
 FIXTURE_FILE_SCHEMA = """name string,
