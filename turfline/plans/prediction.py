@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from turfline.operators import evaluation as E
 from turfline.operators import prediction as K
 from turfline.operators.ordering import group_quantiles
+from turfline.plans.linear_sql import solve_sql
 from turfline.plans.profiles import rounded
 from turfline.plans.registry import query
 from turfline.plans.timesplit import ENV_SQL, FOLD, TRANS_SQL, env, episodes, numbered
@@ -116,7 +117,48 @@ def subgroup_metrics(v):
     return rounded(K.interval_metrics(tagged, ["subgroup"]).select("subgroup", "n", "mae"), "mae")
 
 
-@query("method_choice", "K8", None)
+RIDGE_COLUMNS = [
+    "source_rate",
+    "ln(source_minutes / 900)",
+    "ln((d_team + 10e0) / (s_team + 10e0))",
+    "CASE WHEN role_change <> 'same' THEN 1e0 ELSE 0 END",
+    *[f"CASE WHEN {side}_role = '{r}' THEN 1e0 ELSE 0 END" for side in ("source", "destination") for r in ROLES],
+]
+# Fit -1 takes all training rows, fit f those of the other folds.
+RIDGE_SQL = f"""{EP_SQL},
+rx AS (SELECT ep.*, x.team_id AS s_team, y.team_id AS d_team, {FOLD.format(k="CAST(ep.player_id AS VARCHAR)")} AS fold
+  FROM ep JOIN env x ON x.environment_id = source_environment_id JOIN env y ON y.environment_id = destination_environment_id),
+rv AS (SELECT source_environment_id AS sid, part, fold, actual, unnest(range(1, {len(RIDGE_COLUMNS) + 1})) AS i, unnest([{", ".join(RIDGE_COLUMNS)}]) AS x FROM rx),
+rf AS (SELECT DISTINCT fold AS g FROM rx WHERE part = 'train' UNION ALL SELECT -1),
+rb AS (SELECT g, rv.* FROM rf JOIN rv ON part = 'train' AND fold <> g),
+rc AS (SELECT g, i, avg(x) AS m, stddev_pop(x) AS sd, avg(actual) AS y FROM rb GROUP BY g, i),
+rz AS (SELECT g, sid, i, CASE WHEN sd > 1e-12 THEN (x - m) / sd ELSE 0 END AS z, actual - y AS yc FROM rb JOIN rc USING (g, i)),
+rn AS (SELECT a.g, a.i, b.i AS j, sum(a.z * b.z) + CASE WHEN a.i = b.i THEN 10 ELSE 0 END AS c FROM rz a JOIN rz b USING (g, sid) GROUP BY a.g, a.i, b.i
+  UNION ALL SELECT g, i, 1000, sum(z * yc) FROM rz GROUP BY g, i),
+{solve_sql("rn", "rg")},
+rp AS (SELECT g, sid, part, actual, greatest(0, max(y) + sum(CASE WHEN sd > 1e-12 THEN (x - m) / sd * sol[i] ELSE 0 END)) AS point
+  FROM rv JOIN rc USING (i) JOIN rg USING (g) WHERE CASE WHEN part = 'train' THEN fold = g ELSE g = -1 END GROUP BY g, sid, part, actual)"""
+CHOICE_SQL = f"""{RIDGE_SQL},
+mr AS (SELECT 'role_mean' AS method, residual FROM ct
+  UNION ALL SELECT 'unchanged_source', actual - source_rate - (SELECT avg(actual - source_rate) FROM ep WHERE part = 'train') FROM ep WHERE part = 'train'
+  UNION ALL SELECT 'ridge', actual - point - (SELECT avg(actual - point) FROM rp WHERE part = 'train') FROM rp WHERE part = 'train'),
+mp AS (SELECT 'role_mean' AS method, source_environment_id AS sid, actual, point FROM pr UNION ALL SELECT 'unchanged_source', source_environment_id, actual, source_rate FROM pr
+  UNION ALL SELECT 'ridge', sid, actual, point FROM rp WHERE part = 'test'),
+mq AS (SELECT method, sid, actual, point, quantile_cont(greatest(0, point + residual), 0.1) AS lo80, quantile_cont(greatest(0, point + residual), 0.9) AS hi80
+  FROM mp JOIN mr USING (method) GROUP BY method, sid, actual, point),
+mm AS (SELECT method, avg(abs(actual - point)) AS mae, avg(CASE WHEN actual BETWEEN lo80 AND hi80 THEN 1e0 ELSE 0 END) AS coverage, avg(hi80 - lo80) AS width FROM mq GROUP BY method),
+mb AS (SELECT * FROM mm WHERE method <> 'ridge' ORDER BY mae, method LIMIT 1),
+mo AS (SELECT mb.method AS other, list_filter([CASE WHEN o.mae > 1.10 * mb.mae THEN 'validation_point_error' END,
+  CASE WHEN NOT o.coverage BETWEEN 0.65 AND 0.95 THEN 'validation_coverage' END, CASE WHEN o.width > 1.5 * mb.width THEN 'validation_width' END], lambda z: z IS NOT NULL) AS reasons
+  FROM mm o, mb WHERE o.method = 'ridge')"""
+
+
+@query(
+    "method_choice",
+    "K8",
+    f"WITH RECURSIVE {CHOICE_SQL} SELECT CASE WHEN len(reasons) > 0 THEN other ELSE 'ridge' END AS method, array_to_string(reasons, ';') AS reasons FROM mo",
+    "pm",
+)
 def method_choice(v):
     """Ridge against both baselines: which one passes the gates."""
     train, test = parts(v)
@@ -158,7 +200,12 @@ def ridge_of(train):
     return (NUMERIC, ROLES), K.fit_ridge(rows, names, "actual"), K.ridge_residuals(rows, names, "actual")
 
 
-@query("ridge_rate", "K5", None)
+@query(
+    "ridge_rate",
+    "K5",
+    f"WITH RECURSIVE {RIDGE_SQL} SELECT sid AS source_environment_id, round(actual, 6) AS actual, round(point, 6) AS point FROM rp WHERE part = 'test'",
+    "pm",
+)
 def ridge_rate(v):
     train, test = parts(v)
     rows, names = K.design_columns(covariates(train), NUMERIC, ROLES)
@@ -167,7 +214,47 @@ def ridge_rate(v):
     return rounded(out.select("source_environment_id", "actual", "point"), "actual", "point")
 
 
-@query("poisson_rate", "K14", None)
+POISSON_COLUMNS = [
+    "1e0",
+    "ln((source_passes + 0.5) / (source_minutes / 90e0 + 0.5))",
+    *RIDGE_COLUMNS[1:4],
+    *[f"CASE WHEN {side}_role = '{r}' THEN 1e0 ELSE 0 END" for side in ("source", "destination") for r in ROLES[:-1]],
+]
+
+
+def newton_sql(rows: str, penalty: float, steps: int, out: str) -> str:
+    """``out``: g, sol - the log-rate fit of ``rows`` (sid, x list with a leading one, y, e) by Newton steps.
+
+    The penalty is that of the mean log-likelihood weighted by the expected counts, whose sum
+    is the sum of the counts at the optimum; the first coefficient is free.
+    """
+    parts = [f"{out}_0 AS (SELECT 0 AS g, list_transform(any_value(x), lambda z, i: CASE WHEN i = 1 THEN level ELSE 0 END) AS sol FROM {rows}, (SELECT ln(sum(y) / sum(e)) AS level FROM {rows}) q GROUP BY level)"]
+    for step in range(1, steps + 1):
+        name = f"{out}_{step}"
+        parts += [
+            f"{name}w AS MATERIALIZED (SELECT sid, x, list_dot_product(x, sol) AS eta, e * exp(list_dot_product(x, sol)) AS mu, y FROM {rows}, {out}_{step - 1})",
+            f"{name}u AS MATERIALIZED (SELECT sid, mu, mu * eta + y - mu AS t, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS z FROM {name}w)",
+            f"""{name}n AS MATERIALIZED (SELECT 0 AS g, a.i, b.i AS j, sum(a.mu * a.z * b.z) + CASE WHEN a.i = b.i AND a.i > 1 THEN {penalty} * (SELECT sum(y) FROM {rows}) ELSE 0 END AS c
+  FROM {name}u a JOIN {name}u b USING (sid) GROUP BY a.i, b.i UNION ALL SELECT 0, i, 1000, sum(z * t) FROM {name}u GROUP BY i)""",
+            solve_sql(f"{name}n", name),
+        ]
+    parts.append(f"{out} AS (SELECT * FROM {out}_{steps})")
+    return ",\n".join(parts)
+
+
+POISSON_SQL = f"""{EP_SQL},
+gx AS (SELECT part, source_environment_id AS sid, [{", ".join(POISSON_COLUMNS)}] AS x, destination_passes AS y, destination_minutes / 90e0 AS e
+  FROM (SELECT ep.*, x.team_id AS s_team, y.team_id AS d_team FROM ep JOIN env x ON x.environment_id = source_environment_id JOIN env y ON y.environment_id = destination_environment_id) q),
+gt AS (SELECT * FROM gx WHERE part = 'train'),
+{newton_sql("gt", 0.01, 9, "gp")}"""
+
+
+@query(
+    "poisson_rate",
+    "K14",
+    f"WITH RECURSIVE {POISSON_SQL} SELECT sid AS source_environment_id, round(exp(list_dot_product(x, sol)), 6) AS point FROM gx, gp WHERE part = 'test'",
+    "pm",
+)
 def poisson_rate(v):
     train, test = parts(v)
     source_log = F.log((F.col("source_passes") + 0.5) / (F.col("source_minutes") / 90 + 0.5))
@@ -213,16 +300,20 @@ def change_description(v):
 @query(
     "holdout_table",
     "K16 K4",
-    f"WITH {EP_SQL} SELECT source_environment_id, round(actual, 6) AS actual, round(point, 6) AS role_mean, round(source_rate, 6) AS unchanged_source FROM pr",
+    f"""WITH RECURSIVE {RIDGE_SQL} SELECT source_environment_id, round(pr.actual, 6) AS actual, round(pr.point, 6) AS role_mean,
+ round(source_rate, 6) AS unchanged_source, round(rp.point, 6) AS ridge FROM pr JOIN rp ON sid = source_environment_id AND rp.part = 'test'""",
     "pm",
 )
 def holdout_table(v):
     train, test = parts(v)
-    out = K.holdout_table(
-        {"role_mean": K.predict_role_mean(test, train), "unchanged_source": K.predict_unchanged(test)},
-        ["source_environment_id"],
-    )
-    return rounded(out, "actual", "role_mean", "unchanged_source")
+    design, names = K.design_columns(covariates(train), NUMERIC, ROLES)
+    ridge = K.fit_ridge(settle(design, "design"), names, "actual")
+    methods = {
+        "role_mean": K.predict_role_mean(test, train),
+        "unchanged_source": K.predict_unchanged(test),
+        "ridge": ridge(K.design_columns(covariates(test), NUMERIC, ROLES)[0]),
+    }
+    return rounded(K.holdout_table(methods, ["source_environment_id"]), "actual", *methods)
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turfline.operators import similarity as S
+from turfline.plans.linear_sql import eigen_sql
 from turfline.plans.profiles import LONG_CO, RATES, rounded
 from turfline.plans.registry import query
 from turfline.plans.views import PM_FAMILIES
@@ -204,7 +205,31 @@ def knn_embeddings(v):
     return rounded(out, "distance", places=5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("knn_pca", "H5", None)
+def components_sql(group: str, count: int) -> str:
+    """Standardised weighted values ``c_z`` of the groups and their leading components ``pc``."""
+    active = "(SELECT * FROM c_s WHERE sd >= 1e-10)"
+    return f"""{LONG}, c_s AS (SELECT {group} AS g, feature, family, avg(value) AS m, stddev_pop(value) AS sd FROM l GROUP BY ALL),
+c_w AS (SELECT c_s.*, CASE WHEN sd >= 1e-10 THEN 1e0 / ((SELECT count(DISTINCT family) FROM {active} b WHERE b.g = c_s.g)
+  * (SELECT count(*) FROM {active} b WHERE b.g = c_s.g AND b.family = c_s.family)) ELSE 0 END AS w FROM c_s),
+c_z AS (SELECT l.player_id, l.primary_role, c_w.g, l.feature, CASE WHEN sd >= 1e-10 THEN (value - m) / sd * sqrt(w) ELSE 0 END AS z
+  FROM l JOIN c_w ON c_w.feature = l.feature AND c_w.g = {group}),
+c_v AS (SELECT a.g, a.feature AS fa, b.feature AS fb, avg(a.z * b.z) AS c FROM c_z a JOIN c_z b USING (player_id, g) GROUP BY ALL),
+c_f AS (SELECT feature, row_number() OVER (ORDER BY feature) AS place FROM (SELECT DISTINCT feature FROM c_z) q),
+{eigen_sql("c_v", count, "c_c")}"""
+
+
+@query(
+    "knn_pca",
+    "H5",
+    f"""WITH RECURSIVE {components_sql("primary_role", len(RATES))},
+c_k AS (SELECT g, comps, list_filter(range(1, {len(RATES) + 1}), lambda i: i = 1 OR list_sum(lams[1:i - 1]) / total <= 0.90) AS kept FROM c_c),
+c_x AS (SELECT player_id, primary_role, k, sum(z * comps[k][place]) AS score FROM (SELECT g, comps, unnest(kept) AS k FROM c_k) q JOIN c_z USING (g) JOIN c_f USING (feature) GROUP BY ALL),
+c_d AS (SELECT a.primary_role, a.player_id, b.player_id AS neighbour, sqrt(sum(pow(a.score - b.score, 2))) AS distance
+  FROM c_x a JOIN c_x b ON a.primary_role = b.primary_role AND a.k = b.k AND a.player_id <> b.player_id GROUP BY ALL)
+SELECT primary_role, player_id, neighbour, rank, round(distance, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY primary_role, player_id ORDER BY distance, neighbour) AS rank FROM c_d) q WHERE rank <= 5""",
+    "co",
+)
 def knn_pca(v):
     rows, _ = scaled(v, "standard")
     rows = settle(rows.select("primary_role", "player_id", "vec"), "scaled")
@@ -216,7 +241,14 @@ def knn_pca(v):
     )
 
 
-@query("pca_map", "H13", None)
+@query(
+    "pca_map",
+    "H13",
+    f"""WITH RECURSIVE {components_sql("0", 2)}
+SELECT player_id, primary_role, round(sum(z * comps[1][place]), 6) AS pc1, round(sum(z * comps[2][place]), 6) AS pc2
+FROM c_z JOIN c_c USING (g) JOIN c_f USING (feature) GROUP BY player_id, primary_role""",
+    "co",
+)
 def pca_map(v):
     scaler = settle(S.fit_scaling(v.co, [], FAM, "standard"), "scaler")
     rows = settle(S.standardise(v.co, scaler, [], RATES).select("player_id", "primary_role", "vec"), "scaled")
@@ -230,7 +262,14 @@ def pca_map(v):
     )
 
 
-@query("pca_loadings", "H15", None)
+@query(
+    "pca_loadings",
+    "H15",
+    f"""WITH RECURSIVE {components_sql("primary_role", 1)}
+SELECT primary_role, rank, feature, round(loading, 6) AS loading FROM (SELECT *, row_number() OVER (PARTITION BY primary_role ORDER BY abs(loading) DESC, feature) AS rank
+ FROM (SELECT g AS primary_role, feature, comps[1][place] AS loading FROM c_c, c_f) q) r WHERE rank <= 4""",
+    "co",
+)
 def pca_loadings(v):
     rows, _ = scaled(v, "standard")
     return rounded(S.top_loadings(S.fit_components(rows, GROUP), GROUP, RATES), "loading")
