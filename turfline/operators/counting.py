@@ -514,8 +514,10 @@ def match_document(
         nested_bins(grid_bins(events, ["match_id"]), ["match_id"]), "match_id", "left"
     )
     if frames is not None:
-        nested = frames.groupBy("match_id", "frame").agg(
-            F.array_sort(F.collect_list(F.struct("object_id", "x", "y"))).alias("objects")
+        # Points without a known player (the ball) stay, without a name.
+        named = frames.join(names.withColumnRenamed("player_id", "object_id"), "object_id", "left")
+        nested = named.groupBy("match_id", "frame").agg(
+            F.array_sort(F.collect_list(F.struct("object_id", "name", "x", "y"))).alias("objects")
         )
         nested = nested.groupBy("match_id").agg(
             F.array_sort(F.collect_list(F.struct("frame", "objects"))).alias("frames")

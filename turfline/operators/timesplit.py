@@ -293,16 +293,31 @@ def episode_split(
     return episodes.withColumn("part", part)
 
 
-def split_leaks(episodes: DataFrame) -> DataFrame:
-    """G5 assertions: overlapping dates, mixed feature versions, shared players
-    between train and validation; each row counts offences."""
+def split_leaks(episodes: DataFrame, version: str) -> DataFrame:
+    """G5 assertions, one row of counts: episodes whose dates overlap, episodes with a side
+    of another feature version than ``version`` (an unknown one counts), and players that
+    stand in train and in validation."""
     shared = (
         episodes.where(F.col("part").isin("train", "validation"))
         .groupBy("player_id")
         .agg(F.min("part").alias("a"), F.max("part").alias("b"))
         .agg(F.count_if(F.col("a") != F.col("b")).alias("shared_players"))
     )
+    same = F.col("source_version").eqNullSafe(version) & F.col("destination_version").eqNullSafe(version)
     rows = episodes.agg(
-        F.count_if(F.col("source_end") >= F.col("destination_start")).alias("overlapping_dates")
+        F.count_if(F.col("source_end") >= F.col("destination_start")).alias("overlapping_dates"),
+        F.count_if(~same).alias("mixed_versions"),
     )
     return rows.join(shared)
+
+
+def leakage_checked(episodes: DataFrame, version: str) -> DataFrame:
+    """Every episode with the assertions it breaks; only rows without any may be split."""
+    same = F.col("source_version").eqNullSafe(version) & F.col("destination_version").eqNullSafe(version)
+    return episodes.withColumn(
+        "broken",
+        reason_list(
+            (~same, "feature_version"),
+            (F.coalesce(F.col("source_end") >= F.col("destination_start"), F.lit(True)), "overlapping_dates"),
+        ),
+    )

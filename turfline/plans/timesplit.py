@@ -295,14 +295,46 @@ def episode_split(v):
     )
 
 
+# The last season of the feed carries features of an older version.
+VERSION_SQL = "CASE WHEN {s} >= 2001 THEN 'features-v0' ELSE 'features-v1' END"
+VERSION_PART = f"""{TRANS_SQL}, vs AS (SELECT *, {VERSION_SQL.format(s="source_season")} AS sv, {VERSION_SQL.format(s="destination_season")} AS dv,
+  CASE WHEN destination_season >= 2000 THEN 'test' WHEN {FOLD.format(k="'p:' || CAST(player_id AS VARCHAR)")} = 0 THEN 'validation' ELSE 'train' END AS part FROM tr WHERE len(reasons) = 0)"""
+
+
+def versioned(v):
+    version = lambda c: F.when(F.col(c) >= 2001, "features-v0").otherwise("features-v1")
+    rows = episodes(v).where("structurally_eligible").withColumns(
+        {f"{p}_version": version(f"{p}_season") for p in ("source", "destination")}
+    )
+    return G.episode_split(rows, 2000, "p:")
+
+
 @query(
     "split_leaks",
     "G5",
-    f"WITH {TRANS_SQL} SELECT count(*) FILTER (WHERE source_end >= destination_start) AS overlapping_dates, CAST(0 AS BIGINT) AS shared_players FROM tr WHERE len(reasons) = 0",
+    f"""WITH {VERSION_PART} SELECT count(*) FILTER (WHERE source_end >= destination_start) AS overlapping_dates,
+ count(*) FILTER (WHERE sv <> 'features-v1' OR dv <> 'features-v1') AS mixed_versions,
+ (SELECT count(*) FROM (SELECT player_id FROM vs WHERE part <> 'test' GROUP BY player_id HAVING count(DISTINCT part) > 1) q) AS shared_players FROM vs""",
     "pm",
 )
 def split_leaks(v):
-    return G.split_leaks(G.episode_split(episodes(v).where("structurally_eligible"), 2000, "p:"))
+    return G.split_leaks(versioned(v), "features-v1")
+
+
+@query(
+    "checked_episodes",
+    "G5",
+    f"""WITH {VERSION_PART}, j AS (SELECT *, array_to_string(list_filter([CASE WHEN sv <> 'features-v1' OR dv <> 'features-v1' THEN 'feature_version' END,
+  CASE WHEN source_end >= destination_start THEN 'overlapping_dates' END], lambda z: z IS NOT NULL), ';') AS broken FROM vs)
+SELECT source_season, destination_season, part, broken, count(*) AS episodes, count(DISTINCT player_id) AS players FROM j GROUP BY ALL""",
+    "pm",
+)
+def checked_episodes(v):
+    """Season pairs of the parts with the assertions their episodes break."""
+    rows = G.leakage_checked(versioned(v), "features-v1").withColumn("broken", F.array_join("broken", ";"))
+    keys = ["source_season", "destination_season", "part", "broken"]
+    per_player = rows.groupBy(*keys, "player_id").agg(F.count(F.lit(1)).alias("e"))
+    return per_player.groupBy(*keys).agg(F.sum("e").alias("episodes"), F.count(F.lit(1)).alias("players"))
 
 
 @query(
