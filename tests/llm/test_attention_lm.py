@@ -129,3 +129,36 @@ def test_shares_sum_to_one():
     table = A.shares_of_class(Rows(), np.zeros(A.VOCABULARY, int), classes, counts)
     sums = np.array([np.bincount(classes, weights=10.0 ** row.astype(float)) for row in table[:3]])
     assert np.allclose(sums, 1, atol=1e-3) and table[1, 3] > table[0, 3]
+
+
+def _batches(texts):
+    return iter([pa.RecordBatch.from_arrays([pa.array([np.asarray(t, "<u2").tobytes() for t in texts], pa.binary())], ["ids"])])
+
+
+def test_windows_follow_the_length_of_a_text():
+    lengths = [0, 1, A.WINDOW, A.SPAN, A.SPAN + 1, 5 * A.SPAN + 7]
+    texts = [np.arange(n) % 997 for n in lengths]
+    windows = [np.frombuffer(w, "<u2") for b in A._sampled(_batches(texts)) for w in b.column(0).to_pylist()]
+    assert len(windows) == sum(max(-(-n // A.SPAN), 1) for n in lengths)
+    assert all(len(w) <= A.WINDOW + 1 for w in windows)
+    for w, (text, first) in zip(windows, [(t, f) for t in texts for f in range(0, max(len(t), 1), A.SPAN)]):
+        span = np.concatenate([[A.END], text])[first : first + A.SPAN + 1]
+        assert any(np.array_equal(span[i : i + len(w)], w) for i in range(len(span)))
+
+
+def test_surroundings_count_every_neighbour_of_whole_texts():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n) for n in (0, 1, 2, 400, 5000)]
+    want = np.zeros((A.VOCABULARY, 2, A.BUCKETS))
+    for text in texts:
+        for a, b in zip([A.END, *text[:-1]], text):
+            want[b, 0, a % A.BUCKETS] += 1
+            want[a, 1, b % A.BUCKETS] += 1
+    got = np.zeros(want.size)
+    for batch in A._surroundings(_batches(texts)):
+        got[batch.column(0).to_numpy()] += batch.column(1).to_numpy()
+    assert np.array_equal(got.reshape(want.shape), want)
+    features, counts = A.id_features(got)
+    assert np.array_equal(counts, np.bincount(np.concatenate(texts), minlength=A.VOCABULARY))
+    assert features.shape == (A.VOCABULARY, A.FEATURES) and np.isfinite(features).all()
+    assert np.isfinite(A.id_features(np.zeros(want.size))[0]).all()

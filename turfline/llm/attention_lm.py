@@ -5,11 +5,13 @@ layer over the last ``WINDOW`` ids: fixed features of each id, queries, keys and
 them, a bias per distance, a rectified hidden layer, and a softmax over ``CLASSES`` classes
 of ids; an id's own share of its class comes from its count (class-factored softmax).
 
-* Counts cover all training texts in full. Features are sums of random vectors of the ids
-  before and after; classes are k-means clusters of what stands before.
-* Weights are trained by data-parallel Adam steps: every training document gives one window,
-  placed by a digest of its ids; each round every task runs over its windows from the shared
-  weights, and the results are averaged. So the windows grow with the corpus.
+* Counts, features, classes and groups of ids cover all training texts in full. Features come
+  from how often ``BUCKETS`` buckets of ids stand before and after each id; classes are k-means
+  clusters of what stands before, groups of what stands after.
+* Weights are trained by data-parallel Adam steps: every started ``SPAN`` ids of a training
+  text give one window, placed by a digest; each round all tasks run side by side over their
+  windows from the shared weights, and Spark averages the results. So the windows grow with
+  the length of the corpus.
 * Scoring reads every whole text in windows that overlap by ``WINDOW - STRIDE`` ids, each id
   scored once with at least that much context, in masked batches.
 
@@ -39,9 +41,9 @@ from turfline.session import settle
 FOLDS, HELD_OUT = 5, 1
 HEAD = 1 << 19
 VOCABULARY, END = 49_409, 49_408
-WINDOW, STRIDE = 32, 24
-FEATURES, KEYS, HIDDEN, CLASSES, GROUPS = 32, 16, 16, 32, 64
-PRIOR = 4.0
+WINDOW, STRIDE, SPAN = 32, 24, 1024
+FEATURES, KEYS, HIDDEN, CLASSES, GROUPS, BUCKETS = 32, 16, 16, 32, 128, 32
+PRIOR, SMOOTH = 4.0, 3.0
 ROUNDS, LEAST_STEPS, BATCH, RATE = 3, 60, 128, 0.01
 TOGETHER = 256
 
@@ -200,21 +202,16 @@ def adam(w: Weights, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per task with the counts of ids, and one window of each text."""
-    counts = np.zeros(VOCABULARY, np.int64)
+    """Windows of each text: one of every started ``SPAN`` ids, placed by a digest of the span."""
     for batch in batches:
         windows = []
         for value in batch.column(0):
-            raw = value.as_buffer()
-            ids = np.frombuffer(raw, "<u2")
-            counts += np.bincount(ids, minlength=VOCABULARY) if len(ids) > VOCABULARY // 4 else 0
-            full = np.concatenate([[END], ids])
-            at = zlib.crc32(raw) % max(len(full) - WINDOW, 1)
-            windows.append(full[at : at + WINDOW + 1].astype("<u2").tobytes())
-        short = [v.as_buffer() for v in batch.column(0) if len(v.as_buffer()) // 2 <= VOCABULARY // 4]
-        counts += np.bincount(np.frombuffer(b"".join(short), "<u2"), minlength=VOCABULARY)
-        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.nulls(len(windows), pa.binary())], ["window", "counts"])
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()])], ["window", "counts"])
+            full = np.concatenate([[END], np.frombuffer(value.as_buffer(), "<u2")]).astype("<u2")
+            for first in range(0, max(len(full) - 1, 1), SPAN):
+                span = full[first : first + SPAN + 1]
+                at = zlib.crc32(span.tobytes()) % max(len(span) - WINDOW, 1)
+                windows.append(span[at : at + WINDOW + 1].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary())], ["window"])
 
 
 def _padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,25 +224,55 @@ def _padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, live
 
 
-def _projections() -> np.ndarray:
-    return np.random.default_rng(3).choice(np.array([-1, 1], np.float32), (VOCABULARY, FEATURES // 2))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids before, ids) of whole texts, about a million places at a time."""
+    before, ids, size = [], [], 0
+    for batch in batches:
+        for value in batch.column(0):
+            own = np.frombuffer(value.as_buffer(), "<u2").astype(np.int64)
+            before += [np.array([END], np.int64), own[:-1]]
+            ids.append(own)
+            size += len(own)
+            if size > 1 << 20 or len(ids) > 4096:
+                yield np.concatenate(before), np.concatenate(ids)
+                before, ids, size = [], [], 0
+    if ids:
+        yield np.concatenate(before), np.concatenate(ids)
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: sums of the random vectors of what stands before and after each id."""
-    vectors, sums, seen = _projections(), np.zeros((VOCABULARY, FEATURES + 1), np.float32), np.zeros(VOCABULARY, bool)
-    for batch in batches:
-        ids, live = _padded(batch.column(0).to_pylist())
-        pairs = (ids[:, :-1] * (1 << 16) + ids[:, 1:])[live > 0]
-        codes, n = np.unique(pairs, return_counts=True)
-        a, b, n = codes >> 16, codes & 0xFFFF, n[:, None].astype(np.float32)
-        half = FEATURES // 2
-        np.add.at(sums, (b, slice(0, half)), vectors[a] * n)
-        np.add.at(sums, (a, slice(half, FEATURES)), vectors[b] * n)
-        np.add.at(sums, (b, FEATURES), n[:, 0])
-        seen[a] = seen[b] = True
-    ids = np.flatnonzero(seen).astype("<i4")
-    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([sums[ids].astype("<f4").tobytes()])], ["ids", "sums"])
+    """Per task, over all ids: how often a bucket of ids stands before and after each id."""
+    total = np.zeros(VOCABULARY * 2 * BUCKETS, np.int64)
+    for before, ids in _slices(batches):
+        total += np.bincount(ids * (2 * BUCKETS) + before % BUCKETS, minlength=len(total))
+        total += np.bincount(before * (2 * BUCKETS) + BUCKETS + ids % BUCKETS, minlength=len(total))
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
+
+
+def summed(rows: DataFrame, counted, size: int) -> np.ndarray:
+    """The sum of the tasks' counts by code, made by Spark: one array of the given size."""
+    found = rows.mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[np.asarray(found.column("code").combine_chunks())] = np.asarray(found.column("n").combine_chunks())
+    return out
+
+
+def id_features(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts) of all ids: per side the leading components of the square roots of
+    the smoothed shares of the buckets, weighted by the roots of the counts."""
+    sides = around.reshape(VOCABULARY, 2, BUCKETS)
+    counts, parts = sides[:, 0].sum(-1), []
+    for side in (sides[:, 0], sides[:, 1]):
+        n = side.sum(-1, keepdims=True)
+        usual = (side.sum(0) + 1) / (side.sum() + BUCKETS)
+        x = np.sqrt((side + SMOOTH * usual) / (n + SMOOTH)) - np.sqrt(usual)
+        weight = np.sqrt(n)
+        vectors = np.linalg.eigh((x * weight).T @ x)[1][:, ::-1][:, : FEATURES // 2]
+        x = x @ (vectors * np.where(vectors.sum(0) < 0, -1, 1))
+        spread = np.sqrt((x**2 * weight).sum() / max(weight.sum(), 1) / x.shape[1])
+        parts.append(x / max(spread, 1e-6))
+    return np.concatenate(parts, 1).astype(np.float32), counts
 
 
 def clusters(points: np.ndarray, weight: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
@@ -269,15 +296,8 @@ def _group_counts(groups: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GROUPS * VOCABULARY, np.int64)
-        for batch in batches:
-            held: list[np.ndarray] = []
-            for value in [*batch.column(0), None]:
-                if value is not None:
-                    ids = np.frombuffer(value.as_buffer(), "<u2").astype(np.int64)
-                    held.append(groups[np.concatenate([[END], ids[:-1]])] * VOCABULARY + ids)
-                if held and (value is None or sum(map(len, held[-64:])) > 1 << 20 or len(held) > 4096):
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held = []
+        for before, ids in _slices(batches):
+            total += np.bincount(groups[before] * VOCABULARY + ids, minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
 
@@ -286,9 +306,7 @@ def _group_counts(groups: np.ndarray):
 
 def shares_of_class(rows: DataFrame, groups: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """log10 share of each id in its class after each group, over all training ids."""
-    found = rows.mapInArrow(_group_counts(groups), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    after = np.zeros((GROUPS, VOCABULARY))
-    after.reshape(-1)[np.asarray(found.column("code").combine_chunks())] = np.asarray(found.column("n").combine_chunks())
+    after = summed(rows, _group_counts(groups), GROUPS * VOCABULARY).reshape(GROUPS, VOCABULARY)
     own = (counts + 0.5) / np.bincount(classes, weights=counts + 0.5, minlength=CLASSES)[classes]
     for row in after:
         inside = np.bincount(classes, weights=row, minlength=CLASSES)
@@ -302,7 +320,7 @@ def _trained(shared, w: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, classes = shared.value
         held, made = [], 0
-        state, loss, weight = w, 0.0, 0
+        state, weight = w, 0
 
         def prepared(rows: list[bytes]):
             ids, live = _padded(rows)
@@ -318,13 +336,14 @@ def _trained(shared, w: Weights):
             made += -(-len(rows) // BATCH)
             if made <= LEAST_STEPS:
                 held += rows
-            state, loss = adam(state, steps(rows))
+            state, _ = adam(state, steps(rows))
         while held and made < LEAST_STEPS:
             made += -(-len(held) // BATCH)
-            state, loss = adam(state, steps(held))
+            state, _ = adam(state, steps(held))
         if weight:
-            flat = np.concatenate([state[n].ravel() for n in sorted(state)]).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([loss]), pa.array([flat.tobytes()])], ["weight", "loss", "flat"])
+            flat = np.concatenate([state[n].ravel() for n in sorted(state)]).astype(np.float64)
+            flat = np.append(flat * weight, weight)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["place", "value"])
 
     return run
 
@@ -332,38 +351,27 @@ def _trained(shared, w: Weights):
 def train(rows: DataFrame) -> dict:
     """The model's tables, all of them of the size of the vocabulary at most."""
     spark = rows.sparkSession
-    sampled = settle(rows.where(~F.col("held_out")).select("ids").mapInArrow(_sampled, "window binary, counts binary"), "windows")
-    counts = np.zeros(VOCABULARY, np.int64)
-    for row in sampled.where("counts is not null").select("counts").toLocalIterator():
-        counts += np.frombuffer(row["counts"], "<i8")
-    windows = sampled.where("window is not null").select("window")
-    sums = np.zeros((VOCABULARY, FEATURES + 1), np.float64)
-    for row in windows.mapInArrow(_surroundings, "ids binary, sums binary").toLocalIterator():
-        ids = np.frombuffer(row["ids"], "<i4")
-        sums[ids] += np.frombuffer(row["sums"], "<f4").reshape(-1, FEATURES + 1)
-    n = sums[:, FEATURES]
-    features = sums[:, :FEATURES] / (n + 3.0)[:, None]
-    spread = np.sqrt((features**2 * n[:, None]).sum(0) / max(n.sum(), 1))
-    features = (features / np.maximum(spread, 1e-6)).astype(np.float32)
+    texts = rows.where(~F.col("held_out")).select("ids")
+    windows = settle(texts.mapInArrow(_sampled, "window binary"), "windows")
+    features, counts = id_features(summed(texts, _surroundings, VOCABULARY * 2 * BUCKETS))
     classes, groups = np.arange(VOCABULARY) % CLASSES, np.zeros(VOCABULARY, np.int64)
-    seen = np.flatnonzero(n)
+    seen = np.flatnonzero(counts)
     if len(seen):
-        groups[seen] = clusters(features[seen, FEATURES // 2 :], np.sqrt(n[seen]), GROUPS)
-        classes[seen] = clusters(features[seen, : FEATURES // 2], np.sqrt(n[seen]), CLASSES)
+        groups[seen] = clusters(features[seen, FEATURES // 2 :], np.sqrt(counts[seen]), GROUPS)
+        classes[seen] = clusters(features[seen, : FEATURES // 2], np.sqrt(counts[seen]), CLASSES)
     w = Weights.fresh()
     shared = spark.sparkContext.broadcast((features, classes))
     shapes = {name: w[name].shape for name in sorted(w)}
     for _ in range(ROUNDS if len(seen) else 0):
-        total, mass = 0.0, 0
-        for row in windows.mapInArrow(_trained(shared, w), "weight long, loss double, flat binary").toLocalIterator():
-            total = total + np.frombuffer(row["flat"], "<f4").astype(np.float64) * row["weight"]
-            mass += row["weight"]
-        at, mean = 0, (total / mass).astype(np.float32)
+        moved = windows.mapInArrow(_trained(shared, w), "place long, value double")
+        sums = moved.groupBy("place").agg(F.sum("value").alias("value")).toArrow().sort_by("place")
+        flat = np.asarray(sums.column("value").combine_chunks())
+        at, mean = 0, (flat[:-1] / flat[-1]).astype(np.float32)
         for name, shape in shapes.items():
             size = int(np.prod(shape))
             w[name] = mean[at : at + size].reshape(shape)
             at += size
-    table = shares_of_class(rows.where(~F.col("held_out")).select("ids"), groups, classes, counts)
+    table = shares_of_class(texts, groups, classes, counts)
     scale = np.float32(KEYS**-0.5)
     return {
         "q": features @ w["q"] * scale, "k": features @ w["k"], "v": features @ w["v"], "c": features @ w["c"] + w["shift"],
