@@ -16,11 +16,9 @@ TYPES = {
 }
 
 
-# Entries that SQL cannot express (eigenvectors, linear solves, iterative fits): the tests that hold their operators against closed forms. Any other entry without
-# an oracle fails.
+# Entries without an oracle and the tests that hold their operators against closed forms. Any other entry
+# without an oracle fails.
 UNIT_TESTED = {
-    "knn_pca": "tests/test_similarity.py", "pca_map": "tests/test_similarity.py", "pca_loadings": "tests/test_similarity.py",
-    "ridge_rate": "tests/test_prediction.py", "poisson_rate": "tests/test_prediction.py", "method_choice": "tests/test_prediction.py",
     "provider_classifier": "tests/test_prediction.py", "method_sweep_pca": "tests/test_similarity.py",
 }
 
