@@ -230,7 +230,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     for batch in batches:
         for value in batch.column(0):
             own = np.frombuffer(value.as_buffer(), "<u2").astype(np.int64)
-            before += [np.array([END], np.int64), own[:-1]]
+            before += [np.array([END], np.int64)[: len(own)], own[:-1]]
             ids.append(own)
             size += len(own)
             if size > 1 << 20 or len(ids) > 4096:
