@@ -543,7 +543,9 @@ def asof_universe(rows: DataFrame, decisions: DataFrame, key: str, counts: Seque
     """Season totals of each key from rows up to the decision date only.
 
     Cumulative sums per (key, day) are carried to the decision days, so rows are
-    never multiplied by the decisions.
+    never multiplied by the decisions. A key gets only the days from its first row on,
+    each of which is a row of the result. The days are one row of distinct calendar
+    dates, 4 bytes each, whatever the number of decisions.
     """
     names = ["minutes", "appearances", *counts]
     daily = rows.where(F.col("reliable") & (F.col("minutes") > 0)).groupBy(key, F.col("observed_on").alias("day")).agg(
@@ -551,9 +553,11 @@ def asof_universe(rows: DataFrame, decisions: DataFrame, key: str, counts: Seque
         F.count(F.lit(1)).cast("double").alias("appearances"),
         *[F.sum(c).alias(c) for c in counts],
     )
-    keys = daily.select(key).distinct()
-    days = decisions.select(F.collect_set("decision_date").alias("d"))  # one row
-    marks = keys.join(F.broadcast(days)).select(key, F.explode("d").alias("day"))
+    starts = daily.groupBy(key).agg(F.min("day").alias("_start"))
+    days = decisions.select(F.collect_set(F.col("decision_date").cast("date")).alias("d"))  # one row
+    marks = starts.join(F.broadcast(days)).select(
+        key, F.explode(F.filter("d", lambda d: d >= F.col("_start"))).alias("day")
+    )
     line = daily.withColumn("decision", F.lit(None).cast("date")).unionByName(
         marks.select(
             key, "day", *[F.lit(0.0).alias(n) for n in names], F.col("day").alias("decision")
