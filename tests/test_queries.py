@@ -14,7 +14,7 @@ QUICK = [
     "player_match_mart", "style_counts", "team_context_percentile", "scoped_profiles", "dq_order", "dq_foreign_keys",
     "stints", "trailing_context", "alternating_split", "knn_topk", "distribution_shift", "pareto_frontier",
     "loo_context", "change_description", "fixture_sheets", "resolve_names", "facet_search", "tagged_events", "file_audit",
-    "roster_holdout_ranks", "frontier_inclusion", "fixed_scaler_stability",
+    "roster_holdout_ranks", "frontier_inclusion", "fixed_scaler_stability", "capability_table",
 ]
 NAMES = list(load_entries()) if os.environ.get("CHECK_ALL") else QUICK
 

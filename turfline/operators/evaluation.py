@@ -145,8 +145,9 @@ def spearman(df: DataFrame, keys: Sequence[str], ident: Sequence[str], a: str, b
         .join(ranked(a, "_ra"), [*keys, a])
         .join(ranked(b, "_rb"), [*keys, b])
     )
-    varied = (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return joined.groupBy(*keys).agg(F.when(varied, F.corr("_ra", "_rb")).alias("spearman"))
+    # A side without variation has no correlation; ``corr`` would divide by zero there.
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    return joined.groupBy(*keys).agg(F.try_divide(F.covar_pop("_ra", "_rb"), spread).alias("spearman"))
 
 
 def feature_stability(first: DataFrame, second: DataFrame, group: Sequence[str], ident: str,

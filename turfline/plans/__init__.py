@@ -16,6 +16,8 @@ TOPICS = [
     "ranking",
     "peers",
     "sweep",
+    "capability",
+    "report",
     "prediction",
     "resolution",
     "sources",

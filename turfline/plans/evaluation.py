@@ -467,7 +467,7 @@ def gates(v):
 
 @query(
     "role_gate",
-    "I17 I20",
+    "I17",
     f"WITH {GATE_SQL} SELECT primary_role, queries, reasons, reasons = '' AS passed FROM gt",
     "pm",
 )
@@ -479,7 +479,7 @@ def role_gate(v):
 
 @query(
     "threshold_grid",
-    "I19",
+    "",
     f"""WITH {GATE_SQL}, p AS (SELECT t.threshold, primary_role, reasons = '' AND queries >= t.threshold AS passed FROM gt, (VALUES (50), (100), (150)) t(threshold)),
 c AS (SELECT min(threshold) AS threshold FROM (SELECT threshold FROM p GROUP BY threshold HAVING count(*) FILTER (WHERE passed) >= 2) q)
 SELECT 'all' AS scope, c.threshold, coalesce((SELECT string_agg(primary_role, ',' ORDER BY primary_role) FROM p WHERE p.threshold = c.threshold AND passed), '') AS roles FROM c""",
