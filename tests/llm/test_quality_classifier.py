@@ -91,3 +91,21 @@ def test_no_labels_and_one_class(spark, frame, odd):
             continue
         got = [r[0] for r in docs.select(Q.score(model, F.col("text"))).collect()]
         assert got == [want] * len(odd)
+
+
+def test_several_texts_of_one_id_fit_alike(spark, frame):
+    rows, labels = corpus(240, seed=4)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = [*rows, *[(i, text[::-1]) for i, text in rows[::5]], *rows[::7], (rows[0][0], None)]
+    one = Q.fit(frame(more), table)
+    two = Q.fit(frame(more[::-1]).repartition(5), table)
+    assert one["bias"] == two["bias"] and one["curve"] == two["curve"]
+    assert np.array_equal(one["weights"], two["weights"]) and np.array_equal(one["scale"], two["scale"])
+
+
+def test_no_documents(spark, frame):
+    from pyspark.sql import functions as F
+
+    docs = frame([(1, "a")]).where("doc_id < 0")
+    model = Q.fit(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert model == {"constant": 0.5} and docs.select(Q.score(model, F.col("text"))).collect() == []

@@ -14,8 +14,9 @@ averaged changes make the next weights, so no task holds all rows and the driver
 weight vectors of fixed length. Scoring reads every whole text once.
 
 Defined results: null and empty texts have no n-gram and get the bias alone; of several
-labels of one id the largest counts, null labels and null ids are left out; with rows of one
-class only every score is that class, with no labelled row 0.5 (predicted 1); repeated rows
+labels of one id the largest counts, and of several texts that of the least digest is learned
+from; null labels and null ids are left out; with rows of one class only every score is that
+class, with no labelled row 0.5 (predicted 1), and no documents give no scores; repeated rows
 score alike; other columns are ignored.
 """
 
@@ -87,8 +88,8 @@ def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
 def _packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in frames:
         features = [f.astype("<i4").tobytes() for f in indicators(batch.column("text"))]
-        columns = [batch.column("part"), batch.column("rank"), batch.column("label"), pa.array(features, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["part", "rank", "label", "features"])
+        columns = [batch.column(c) for c in ("part", "rank", "digest", "label")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(features, pa.binary())], ["part", "rank", "digest", "label", "features"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
@@ -100,8 +101,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     chosen = chosen.withColumn("rank", F.xxhash64("doc_id")).withColumn("part", F.pmod("rank", F.lit(PARTS)).cast("int"))
     # At most max_train rows of four numbers: a bounded broadcast that spares a shuffle of texts.
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(settle(chosen, "sample")), "doc_id")
-    packed = texts.select("part", "rank", "label", "text").mapInArrow(_packed, "part int, rank long, label int, features binary")
-    return settle(packed.dropDuplicates(["rank"]), "features")
+    # Of several texts of one id the one of the least digest is taken, so reruns agree.
+    digest = F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("digest")
+    packed = texts.select("part", "rank", digest, "label", "text").mapInArrow(_packed, "part int, rank long, digest string, label int, features binary")
+    one = packed.groupBy("part", "rank", "label").agg(F.min_by("features", "digest").alias("features"))
+    return settle(one.select("part", "rank", "label", "features"), "features")
 
 
 def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     blocks = settle(rows.groupBy("part").applyInPandas(_gathered, shape), "blocks")
     fitted = blocks.where(F.col("part") >= HELD_PARTS)
     counts, sizes = {0: np.zeros(DIMS), 1: np.zeros(DIMS)}, {0: 0, 1: 0}
-    for row in fitted.mapInPandas(_class_counts, "label int, rows long, counts binary").toLocalIterator():
+    counted = settle(fitted.mapInPandas(_class_counts, "label int, rows long, counts binary"), "counts")
+    for row in counted.toLocalIterator():
         counts[row["label"]] += np.frombuffer(row["counts"], "<f4")
         sizes[row["label"]] += row["rows"]
     if not sizes[0] or not sizes[1]:
@@ -211,6 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     weights, alphas = np.zeros(DIMS + 1), {}
     for _ in range(ROUNDS):
         solved = fitted.mapInPandas(_solved(scale.astype(np.float32), weights.astype(np.float32), alphas), "part int, change binary, alphas binary")
+        # Written first: reading an unwritten frame row by row would run one task after the other.
+        solved = settle(solved, "solved").orderBy("part")
         total, seen, news = np.zeros(DIMS + 1), 0, {}
         for row in solved.toLocalIterator():
             total += np.frombuffer(row["change"], "<f4")
