@@ -143,7 +143,8 @@ def match_sheets(v):
     "ev",
 )
 def participation_segments(v):
-    segments, _ = I.reconstruct(*match_sheets(v))
+    """What the sheets state, also where a match's events end before a stated boundary."""
+    segments, _ = I.reconstruct(*match_sheets(v), stated=True)
     return segments.withColumns({c: F.round(c, 6) for c in ("start_s", "end_s")})
 
 
