@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions import pitch
@@ -28,8 +28,12 @@ from turfline.functions.constants import (
     TAG_WON,
 )
 from turfline.functions.measures import count_where, null_safe_in, poisoned_sum
+from turfline.operators.ordering import value_ladder
+from turfline.session import settle
 
 XY = ("x", "y", "end_x", "end_y")
+#: Moments on the clock lie between -END and END; BEFORE comes before all of them.
+END, BEFORE = 1e300, -1e301
 
 
 def _is(kind: str) -> Column:
@@ -167,12 +171,10 @@ def match_clock(events: DataFrame, ends: DataFrame) -> DataFrame:
 def on_pitch_context(events: DataFrame, intervals: DataFrame) -> DataFrame:
     """Distinct own/opponent possessions and team passes while on the pitch.
 
-    Time is cut into about the square root of a match's events many bands. A band
-    inside an interval counts by its merged possessions; only the bands that hold
-    an end of the interval are met event by event, so no event sees all intervals
-    of its match and a match with many events spreads over its bands. ``intervals``
-    has match_id, player_id, team_id, start_s, end_s; several rows per player add
-    up; a missing bound or an end before the start gives nothing.
+    ``intervals`` has match_id, player_id, team_id, start_s, end_s; several rows per player add
+    up; a missing bound or an end before the start gives nothing. No event meets the
+    intervals of its match: one interval is a difference of counts along the clock, and only
+    players with several are met band by band.
     """
     slim = events.where(F.col("period") <= 4).select(
         "match_id",
@@ -183,6 +185,96 @@ def on_pitch_context(events: DataFrame, intervals: DataFrame) -> DataFrame:
         F.col("team_id").alias("actor_team"),
         _open_pass().cast("bigint").alias("passes"),
     )
+    names = ["match_id", "player_id", "team_id", "start_s", "end_s"]
+    whole = intervals.select(*names).where(F.col("start_s") <= F.col("end_s"))
+    listed = whole.groupBy("match_id", "player_id").agg(F.collect_list(F.struct(*names[2:])).alias("s"))
+    listed = settle(listed, "spans")
+    several = listed.where(F.size("s") > 1)
+    out = _context_by_counts(slim, listed.where(F.size("s") == 1).select("match_id", "player_id", F.explode("s").alias("s")).select("match_id", "player_id", "s.*"))
+    if several.isEmpty():
+        return out
+    more = several.select("match_id", "player_id", F.explode("s").alias("s")).select("match_id", "player_id", "s.*")
+    return out.unionByName(_context_in_bands(slim, more))
+
+
+def _context_by_counts(slim: DataFrame, spans: DataFrame) -> DataFrame:
+    """Context of one interval per player.
+
+    Events and passes are differences of running sums. A possession lies in [a, b] if it has an
+    event there, and exactly one of these follows no other of it in [a, b]: events up to b whose
+    predecessor is before a, less the events before a. Those pairs of (event, predecessor) are
+    counted by the dyadic bands of events that make up the events to b: a row per binary digit.
+    """
+    keyed = F.col("possession").isNotNull() & F.col("possession_team").isNotNull()
+    clock = lambda c: F.greatest(F.lit(-END), F.least(F.lit(END), F.col(c).cast("double")))
+    moments = slim.where(F.col("at").isNotNull()).withColumns({"at": clock("at"), "keyed": keyed})
+    spans = spans.withColumns({c: clock(c) for c in ("start_s", "end_s")})
+    asked = spans.select("match_id", "start_s", "end_s").distinct()
+    ends = asked.select("match_id", F.explode(F.array("start_s", "end_s")).alias("at"))
+
+    def inside(rows: DataFrame, edges: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+        """(keys, at) with the sums of all rows before and of all rows up to that moment."""
+        marked = rows.select(*keys, "at", *sums).unionByName(edges.select(*keys, "at", *[F.lit(0).cast("bigint").alias(c) for c in sums]))
+        ladder = value_ladder(marked, keys, "at", {c: F.col(c) for c in sums})
+        return ladder.select(
+            *keys, "at", *[F.col(f"{c}_below").alias(f"{c}_before") for c in sums], *[(F.col(f"{c}_below") + F.col(c)).alias(f"{c}_upto") for c in sums],
+            *[F.col(f"{c}_total") for c in sums],
+        )
+
+    def between(rows: DataFrame, sums: DataFrame, keys: list[str], names: list[str], how: str = "inner") -> DataFrame:
+        start = sums.select(*keys, F.col("at").alias("start_s"), *[F.col(f"{c}_before") for c in names])
+        end = sums.select(*keys, F.col("at").alias("end_s"), *[F.col(f"{c}_upto") for c in names])
+        met = rows.join(start, [*keys, "start_s"], how).join(end, [*keys, "end_s"], how)
+        return met.select(*rows.columns, *[(F.col(f"{c}_upto") - F.col(f"{c}_before")).alias(c) for c in names])
+
+    every = moments.withColumns({"events": F.lit(1).cast("bigint"), "loose": (~F.col("keyed")).cast("bigint")})
+    sums = settle(inside(every, ends, ["match_id"], ["events", "loose"]), "moments")
+    rows = between(spans, sums, ["match_id"], ["events", "loose"]).where(F.col("events") > 0)
+    passed = moments.where("keyed").select("match_id", F.col("actor_team").alias("team_id"), "at", "passes").where(F.col("team_id").isNotNull())
+    sides = spans.select("match_id", "team_id", F.explode(F.array("start_s", "end_s")).alias("at")).where(F.col("team_id").isNotNull())
+    sums = settle(inside(passed, sides, ["match_id", "team_id"], ["passes"]), "passes")
+    rows = between(rows, sums, ["match_id", "team_id"], ["passes"], "left")
+
+    holder = ["match_id", "possession_team"]
+    along = Window.partitionBy(*holder, "period", "possession").orderBy("at")
+    marks = moments.where("keyed").select(*holder, "period", "possession", "at").distinct()
+    marks = settle(marks.withColumns({"prior": F.coalesce(F.lag("at").over(along), F.lit(BEFORE)), "n": F.lit(1).cast("bigint")}), "marks")
+    wanted = marks.select(*holder).distinct().join(asked, "match_id")
+    places = settle(inside(marks, wanted.select(*holder, F.explode(F.array("start_s", "end_s")).alias("at")), holder, ["n"]), "places")
+    point = marks.select(*holder, "at", "prior").join(places.select(*holder, "at", "n_before", "n_total"), [*holder, "at"])
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("n_total") + 0.5)).cast("int"))
+    band = lambda c, level: F.call_function("shiftright", c, level)
+    bands = point.withColumn("level", F.explode(levels)).withColumn("band", band(F.col("n_before"), F.col("level"))).where(F.col("band") % 2 == 0)
+    asks = wanted.join(
+        places.select(*holder, F.col("at").alias("end_s"), "n_upto", "n_total"), [*holder, "end_s"]
+    ).join(places.select(*holder, F.col("at").alias("start_s"), "n_before"), [*holder, "start_s"])
+    asks = settle(asks.where(F.col("n_upto") > F.col("n_before")), "asks")
+    parts = asks.withColumn("level", F.explode(levels)).withColumn("band", band(F.col("n_upto"), F.col("level")) - 1).where(F.col("band") % 2 == 0)
+    node = [*holder, "level", "band"]
+    both = bands.select(*node, F.col("prior").alias("edge"), F.lit(1).alias("n")).unionByName(
+        parts.select(*node, F.col("start_s").alias("edge"), F.lit(0).alias("n"))
+    )
+    ladder = value_ladder(both, node, "edge", {"n": F.col("n")}).select(*node, "edge", "n_below")
+    fresh = parts.withColumn("edge", F.col("start_s")).join(ladder, [*node, "edge"]).groupBy(*holder, "start_s", "end_s").agg(
+        (F.sum("n_below") - F.max("n_before")).alias("found")
+    )
+    own = F.col("possession_team") == F.col("team_id")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("found"))), F.lit(0))
+    complete = F.max("loose") == 0
+    return rows.join(fresh, ["match_id", "start_s", "end_s"], "left").groupBy("match_id", "player_id").agg(
+        F.when(complete, total(own)).alias("own_possessions"),
+        F.when(complete, total(~own)).alias("opponent_possessions"),
+        F.coalesce(F.max("passes"), F.lit(0)).alias("team_passes"),
+    )
+
+
+def _context_in_bands(slim: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Context of players with several intervals in a match, whose possessions count once.
+
+    Time is cut into about the square root of a match's events many bands. A band inside an
+    interval counts by its merged possessions; only the bands that hold an end of the
+    interval are met event by event.
+    """
     extent = slim.groupBy("match_id").agg(
         F.min("at").alias("_from"), F.max("at").alias("_to"), F.ceil(F.sqrt(F.count("at"))).alias("_bands")
     ).where(F.col("_bands") > 0)
