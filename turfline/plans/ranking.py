@@ -475,7 +475,7 @@ def reconstruction(v):
     vec = F.transform(F.array(*[F.lit(f) for f in sorted(RATES)]), lambda f: F.element_at("percentiles", f))
     points = index.select("player_id", F.col("role").alias("primary_role"), vec.alias("vec"))
     wanted = points.join(first.select("player_id"), "player_id", "left_semi")
-    ranked = S.nearest(points, ["primary_role"], "player_id", 10)
+    ranked = S.nearest(points, ["primary_role"], "player_id", 10, centre=50.0)
     scaler = settle(S.fit_scaling(v.co, ["primary_role"], FAM, "standard"), "scaler")
     near = S.nearest(S.standardise(v.co, scaler, ["primary_role"], RATES), ["primary_role"], "player_id", 10)
     both = E.overlap(near, ranked, ["player_id"], []).join(wanted.select("player_id"), "player_id", "left_semi")
