@@ -31,14 +31,21 @@ rk AS (SELECT x.primary_role, x.player_id, 1 + count(*) FILTER (WHERE y.d < x.d
   count(*) AS candidates FROM hd x JOIN hd y ON x.player_id = x.other AND y.player_id = x.player_id GROUP BY ALL)"""
 
 
-def paired_halves(v):
-    """(first, second) half profiles of usable pairs, under the common role."""
-    rows = settle(halves(v), "halves")
+def paired_players(v, rows=None):
+    """(player_id, primary_role) of usable pairs, under the common role."""
     pairs = window_pairs(v, rows).where(F.col("exclusion").isNull())
+    if rows is None:
+        pairs = settle(pairs, "pairs")
     sizes = pairs.groupBy("role_first").agg(F.count(F.lit(1)).alias("pairs"))
-    keep = pairs.join(sizes.where(F.col("pairs") >= 3), "role_first").select(
+    return pairs.join(sizes.where(F.col("pairs") >= 3), "role_first").select(
         "player_id", F.col("role_first").alias("primary_role")
     )
+
+
+def paired_halves(v):
+    """(first, second) half profiles of usable pairs, under the common role."""
+    rows = settle(halves(v), "halves")
+    keep = paired_players(v, rows)
     used = settle(rows.drop("primary_role").join(keep, "player_id"), "pairs")
     side = lambda w: used.where(F.col("window") == w).drop("window")
     return side("first"), side("second")

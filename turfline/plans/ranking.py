@@ -8,7 +8,7 @@ from turfline.operators import evaluation as E
 from turfline.operators import profiles as P
 from turfline.operators import scenario as J
 from turfline.operators.ordering import value_ladder, with_midrank, with_reference_midrank
-from turfline.plans.evaluation import BOOT_SQL, DRAWS, METRIC_SQL, PAIR_SQL, boot, paired_halves, ranks
+from turfline.plans.evaluation import BOOT_SQL, DRAWS, METRIC_SQL, PAIR_SQL, boot, paired_players, ranks
 from turfline.plans.profiles import LONG_CO, RATES, rounded
 from turfline.plans.registry import query
 from turfline.plans.similarity import FAM, FAMILY_CASE
@@ -470,15 +470,14 @@ def reconstruction(v):
     """How far ranking by a player's own percentiles finds its neighbours again."""
     from turfline.operators import similarity as S
 
-    first, _ = paired_halves(v)
+    asked = paired_players(v).select("player_id")
     index = settle(candidate_index(v).select("player_id", "role", "percentiles"), "index")
     vec = F.transform(F.array(*[F.lit(f) for f in sorted(RATES)]), lambda f: F.element_at("percentiles", f))
     points = index.select("player_id", F.col("role").alias("primary_role"), vec.alias("vec"))
-    wanted = points.join(first.select("player_id"), "player_id", "left_semi")
     ranked = S.nearest(points, ["primary_role"], "player_id", 10, centre=50.0)
     scaler = settle(S.fit_scaling(v.co, ["primary_role"], FAM, "standard"), "scaler")
     near = S.nearest(S.standardise(v.co, scaler, ["primary_role"], RATES), ["primary_role"], "player_id", 10)
-    both = E.overlap(near, ranked, ["player_id"], []).join(wanted.select("player_id"), "player_id", "left_semi")
+    both = E.overlap(near, ranked, ["player_id"], []).join(asked, "player_id", "left_semi")
     return rounded(both.select("player_id", "jaccard"), "jaccard")
 
 
