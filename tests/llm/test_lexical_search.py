@@ -99,3 +99,15 @@ def test_empty_tables(spark, frame, odd):
     index = S.build_index(frame(odd)).checkpoint()
     assert S.search(index, items_of(spark, [])).collect() == []
     assert S.search(index, items_of(spark, [(1, None)])).collect() == []
+
+
+def test_written_blocks_are_files(spark, frame, monkeypatch, tmp_path):
+    """Spark's writer and reader hold all large rows of a file, so the query writes a block a file."""
+    held = []
+    docs, _ = corpus()
+    monkeypatch.setattr(S, "table", lambda spark, folder, name: frame(docs * 50).repartition(1) if name == "documents" else None)
+    monkeypatch.setattr(S, "build_index", lambda rows, made=S.build_index: made(rows).select("*").unionByName(made(rows)).coalesce(1))
+    monkeypatch.setattr(S, "search", lambda index, items: held.append(index))
+    S.query(spark, str(tmp_path))
+    assert held[0].count() > 1
+    assert len(held[0].inputFiles()) == held[0].count()

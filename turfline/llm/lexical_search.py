@@ -2,7 +2,8 @@
 
 The index is a table of blocks. A block holds some ``BLOCK`` bytes of text: its documents in
 ascending id order with their lengths, and for every term, by 64-bit hash, the places and
-frequencies of the documents that hold it. It does not depend on any query.
+frequencies of the documents that hold it. It does not depend on any query. A written block is a
+file of its own, so that neither its writer nor its reader holds more than a few blocks.
 
 A search reads the blocks once for the document frequencies of the asked terms and once to
 rank. In a block every asked posting list gets a sparse table of the places of its largest
@@ -326,7 +327,7 @@ QUERY = "op12_lexical_search"
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    index = settle(build_index(table(spark, folder, "documents")), "index")
+    index = settle(build_index(table(spark, folder, "documents")), "index", a_file=1)
     return search(index, table(spark, folder, "benchmark"))
 
 

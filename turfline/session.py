@@ -69,11 +69,15 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def settle(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Cut lineage with a written table every executor can read back."""
+def settle(df: DataFrame, name: str = "cut", a_file: int = 0) -> DataFrame:
+    """Cut lineage with a written table every executor can read back.
+
+    ``a_file`` rows at most share a file (0: any number). Spark's writer looks at what it holds only every
+    100 rows and its reader takes up to 4,096 rows at once, whatever their size, but both end with a file.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", a_file).parquet(path)
     _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
